@@ -13,6 +13,7 @@ length. Work goes in pieces of about one megabyte (more only for a single longer
 from __future__ import annotations
 
 import functools
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,53 +74,164 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
-    """(first, last) byte ranges of about PIECE bytes that no word crosses."""
+    """(first, last) byte ranges of about PIECE bytes that no word crosses; texts' starts end words too."""
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
         to = at + PIECE
         if to < end:
-            starts = int(offsets[np.searchsorted(offsets, to)])  # a text's start ends words too
-            gap = to
-            while gap < starts:
-                brk = np.flatnonzero(~word[data[gap : min(gap + 4096, starts)]])
-                if len(brk):
-                    gap += int(brk[0])
+            start = int(offsets[np.searchsorted(offsets, to)])
+            while to < start:
+                found = np.flatnonzero(~word[data[to : min(to + 4096, start)]])
+                if len(found):
+                    to += int(found[0])
                     break
-                gap = min(gap + 4096, starts)
-            to = min(gap, starts)
+                to = min(to + 4096, start)
         yield at, min(to, end)
         at = min(to, end)
 
 
+def _span_hashes(piece: np.ndarray, sub: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = max(PIECE + 4096, len(piece) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(piece) + 1, U)
+        np.cumsum(sub[piece] * powers(BASE, n)[: len(piece)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * powers(INVERSE, n)[starts]
+        return mix(h ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
+
+
+def _first(offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where in bytes a:b a text starts."""
+    out = np.zeros(b - a, bool)
+    out[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a] = True
+    return out
+
+
 def word_hashes(texts: pa.Array, kind: str = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, bounds): text i has the words bounds[i]:bounds[i+1]."""
+    hashes, bounds, _, _ = word_spans(texts, kind)
+    return hashes, bounds
+
+
+def word_spans(texts: pa.Array, kind: str = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes`` and each word's first byte and end in the texts' buffer."""
     word, sub = tables(kind)
     data, offsets = buffers(texts)
-    found, places = [], []
+    found, places, stops = [], [], []
     for a, b in _pieces(data, offsets, word):
         piece = data[a:b]
-        is_word = word[piece]
-        first = np.zeros(b - a, bool)
-        inner = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
-        first[inner] = True
-        before = np.empty(b - a, bool)
-        before[0] = False
-        before[1:] = is_word[:-1]
-        starts = np.flatnonzero(is_word & (first | ~before))
-        # a word ends before the next non-word byte or the next text
+        is_word, first = word[piece], _first(offsets, a, b)
+        # a word starts after a non-word byte or at a text's start, and ends before either
+        edge = first.copy()
+        edge[1:] |= ~is_word[:-1]
+        edge[0] = True
+        starts = np.flatnonzero(is_word & edge)
         after = np.ones(b - a, bool)
         after[:-1] = ~is_word[1:] | first[1:]
         ends = np.flatnonzero(is_word & after) + 1
-        n = max(PIECE + 4096, b - a + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(b - a + 1, U)
-            np.cumsum(sub[piece] * powers(BASE, n)[: b - a], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * powers(INVERSE, n)[starts]
-            found.append(mix(h ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93))))
+        found.append(_span_hashes(piece, sub, starts, ends))
+        places.append(starts + a)
+        stops.append(ends + a)
+    if not found:
+        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.concatenate(places)
+    return np.concatenate(found), np.searchsorted(starts, offsets).astype(np.int64), starts, np.concatenate(stops)
+
+
+@functools.cache
+def _joint_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes that may stand before a joint, two before it if a continuation byte does, and after it.
+
+    A joint is a space between two characters that are surely no white space; Unicode's other white
+    space starts with C2, E1, E2 or E3, or ends in a continuation byte after C2, 80, 81 or 9A.
+    """
+    b = np.arange(256)
+    ascii_ok = (b > 0x20) & (b < 0x7F)
+    after = ascii_ok | ((b >= 0xC3) & (b <= 0xDF)) | (b >= 0xE4)
+    return ascii_ok, (b >= 0x80) & ~np.isin(b, (0xC2, 0x80, 0x81, 0x9A)), after
+
+
+def joint_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_spans``, of chunks: texts cut before every joint, nothing left out."""
+    before, two_before, after = _joint_tables()
+    data, offsets = buffers(texts)
+    found, places, stops = [], [], []
+    sub = salted(11, 256)
+    for a, b in _pieces(data, offsets, np.ones(256, bool)):
+        piece = data[a:b]
+        ok = np.zeros(b - a, bool)
+        space = np.flatnonzero(piece == 0x20)
+        space = space[(space > 1) & (space < b - a - 1)]
+        ok[space] = (before[piece[space - 1]] | ((piece[space - 1] >= 0x80) & two_before[piece[space - 2]])) & after[piece[space + 1]]
+        first = _first(offsets, a, b)
+        first[0] = True
+        ok[space] &= ~first[space] & ~first[space - 1] & ~first[space + 1]
+        starts = np.flatnonzero(ok | first)
+        ends = np.append(starts[1:], b - a)
+        found.append(_span_hashes(piece, sub, starts, ends))
         places.append(starts + a)
+        stops.append(ends + a)
     if not found:
-        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64)
-    return np.concatenate(found), np.searchsorted(np.concatenate(places), offsets).astype(np.int64)
+        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.concatenate(places)
+    return np.concatenate(found), np.searchsorted(starts, offsets).astype(np.int64), starts, np.concatenate(stops)
+
+
+class ChunkCoder:
+    """Ids of texts cut into chunks, each distinct chunk encoded once and remembered.
+
+    ``learn`` maps chunks to their ids. Chunks are told apart by 64-bit hashes; of ``limit``
+    remembered chunks, two differing ones share a hash with a chance of limit**2 / 2**65.
+    """
+
+    def __init__(self, spans, learn, limit: int, slice_bytes: int = 8 << 20) -> None:
+        self.spans, self.learn, self.limit, self.slice_bytes = spans, learn, limit, slice_bytes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1 << 12, np.int64)  # entry i has pool[ends[i]:ends[i + 1]]
+
+    def _grow(self, name: str, n: int) -> None:
+        old = getattr(self, name)
+        if n > len(old):
+            setattr(self, name, np.concatenate([old, np.zeros(max(n - len(old), len(old) // 2), old.dtype)]))
+
+    def encode(self, texts: pa.Array):
+        """Yields (number of texts, ids, bounds) for consecutive runs of texts."""
+        _, offsets = buffers(texts)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.slice_bytes, "right")) - 1)
+            yield self._run(texts.slice(at, to - at))
+            at = to
+
+    def _run(self, texts: pa.Array) -> tuple[int, np.ndarray, np.ndarray]:
+        hashes, bounds, starts, ends = self.spans(texts)
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.at) > self.limit:
+            self._clear()
+        keys = distinct.tolist()
+        entry = [self.at.get(k, -1) for k in keys]
+        missing = [i for i, e in enumerate(entry) if e < 0]
+        if missing:
+            data, _ = buffers(texts)
+            new = [data[a:b].tobytes().decode() for a, b in zip(starts[where[missing]].tolist(), ends[where[missing]].tolist())]
+            coded = self.learn(new)
+            n, sizes = len(self.at), np.fromiter(map(len, coded), np.int64, len(coded))
+            base = int(self.ends[n])
+            self._grow("ends", n + len(new) + 1)
+            self.ends[n + 1 : n + 1 + len(new)] = base + np.cumsum(sizes)
+            self._grow("pool", int(self.ends[n + len(new)]))
+            self.pool[base : int(self.ends[n + len(new)])] = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+            for j, i in enumerate(missing):
+                entry[i] = self.at[keys[i]] = n + j
+        e = np.array(entry, np.int64)[inverse] if keys else np.zeros(0, np.int64)
+        first = self.ends[e]
+        sizes = self.ends[e + 1] - first
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(first - total[:-1], sizes) + np.arange(total[-1])]
+        return len(texts), ids, total[bounds]
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

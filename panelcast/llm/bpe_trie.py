@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import _base as B
+from panelcast.llm import _text as T
 
-#: Encodings of chunks kept by a worker, in each of two generations.
-MEMO = 350_000
-#: Rows encoded together, and rows of an output batch.
-IN_ROWS, OUT_ROWS = 2048, 512
+#: Encodings of chunks kept by a worker, rows of an output batch.
+MEMO, OUT_ROWS = 1_000_000, 512
 #: Beyond these code points, texts are normalised by the tokenizers library itself.
 _BEYOND = re.compile("[^\x00-ɏ]")
 _SPACE = re.compile("[\t-\r \x85\xa0]+")
+_MARKS = tuple(",.;:!?")
 
 
 class TrieBPE:
@@ -72,8 +71,7 @@ class TrieBPE:
             for t in names:
                 if len(t) > 2:
                     reach[t[-3:]] = max(reach.get(t[-3:], 0), len(t))
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.coder = T.ChunkCoder(T.word_spans, self.encode_chunks, MEMO)
 
     def follows(self, a: int, b: int, limit: int = 1 << 60) -> bool:
         """Whether the merges before ``limit`` leave token a followed by token b apart.
@@ -137,44 +135,36 @@ class TrieBPE:
             before = w
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encodings of chunks (runs of normalised text without white space) into the memo."""
-        memo = self.memo
-        # letters and one mark after them are pieces of their own: the letters are looked up alone
-        tails = [c for c in chunks if c[-1] in ",.;:!?" and c[:-1].isalpha()]
-        rest = chunks.difference(tails) | {x for c in tails for x in (c[:-1], c[-1]) if x not in memo}
-        pieces = {c: [c] if c.isascii() and c.isalpha() else [p for p, _ in self.tool.pre_tokenizer.pre_tokenize_str(c)] for c in rest}
-        coded = self.encode_words(list({p for ps in pieces.values() for p in ps}))
-        for c, ps in pieces.items():
-            ids = coded[ps[0]] if len(ps) == 1 else [i for p in ps for i in coded[p]]
-            memo[c] = struct.pack(f"<{len(ids)}i", *ids)
-        for c in tails:
-            memo[c] = memo[c[:-1]] + memo[c[-1]]
-
-    def chunks(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
+        """Normalised and pre-tokenised, in the vocabulary's symbols."""
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
         if _BEYOND.search(text):
-            return [c for c in self.tool.normalizer.normalize_str(text).split(" ") if c]
-        low = text.lower()
-        return low.split() if low.isascii() and not _ODD.search(low) else [c for c in _SPACE.split(low) if c]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if len(self.memo) > MEMO:  # two generations: what is still in use comes back from the older one
-            self.older, self.memo = self.memo, {}
-        split = [
-            [self.special.get(s) or self.chunks(s) for s in self.cut.split(t)] if self.cut and self.cut.search(t) else [self.chunks(t)]
-            for t in texts
-        ]
-        memo = self.memo
-        found = [[list(map(memo.get, p)) if isinstance(p, list) else [struct.pack("<i", p)] for p in parts] for parts in split]
-        missing = {c for ps, fs in zip(split, found) for p, f in zip(ps, fs) if None in f for c, x in zip(p, f) if x is None}
-        for c in missing & self.older.keys():
-            memo[c] = self.older[c]
-        missing = {c for c in missing if c not in memo}
-        if missing:
-            self._learn(missing)
-        get = memo.__getitem__
-        return [b"".join([b"".join(map(get, p) if None in f else f) for p, f in zip(ps, fs)]) for ps, fs in zip(split, found)]
+            text = self.tool.normalizer.normalize_str(text)
+        else:
+            text = _SPACE.sub(" ", text).lower()
+        if text[-1:] in _MARKS and text[:-1].isascii() and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return [p for p, _ in self.tool.pre_tokenizer.pre_tokenize_str(text)]
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of runs of text between white space, by one walk over their pieces' trie."""
+        parts: list[list[str | int]] = []
+        for c in chunks:
+            if "<" in c and self.cut and self.cut.search(c):
+                parts.append([x for s in self.cut.split(c) for x in ([self.special[s]] if s in self.special else self._pieces(s))])
+            else:
+                parts.append(self._pieces(c))
+        coded = self.encode_words(list({p for ps in parts for p in ps if isinstance(p, str)}))
+        return [coded[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else [i for p in ps for i in (coded[p] if isinstance(p, str) else (p,))] for ps in parts]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        out = []
+        for n, ids, bounds in self.coder.encode(pa.array(texts, pa.string())):
+            flat = ids.tolist()
+            out += [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """As the tokenizers library does without a decoder: tokens joined by one space."""
@@ -182,9 +172,6 @@ class TrieBPE:
         return " ".join([names[i] for i in ids])
 
 
-_ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
-
-
 @functools.cache
 def coder(path: str) -> TrieBPE:
     return TrieBPE(path)
@@ -196,16 +183,18 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                if at % IN_ROWS == 0:
-                    ahead = bpe.encode(B.text_array(batch.slice(at, IN_ROWS), "text").to_pylist())
-                part, coded = batch.slice(at, OUT_ROWS), ahead[at % IN_ROWS :][:OUT_ROWS]
-                bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in coded])])
-                flat = np.frombuffer(b"".join(coded), np.int32)
-                all_ids = flat.tolist()
-                texts = [bpe.decode(all_ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            done = 0
+            for n, flat, bounds in bpe.coder.encode(B.text_array(batch, "text")):
+                for at in range(0, n, OUT_ROWS):
+                    ends = bounds[at : at + OUT_ROWS + 1]
+                    ids = flat[ends[0] : ends[-1]]
+                    ends = ends - ends[0]
+                    names = ids.tolist()
+                    texts = [bpe.decode(names[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                    rows = batch.column("id").slice(done + at, len(ends) - 1)
+                    yield pa.RecordBatch.from_arrays([rows, lists, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+                done += n
 
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -20,7 +20,6 @@ block gets a block of its own.
 from __future__ import annotations
 
 import functools
-import re
 import struct
 import uuid
 import zlib
@@ -33,13 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import _base as B
+from panelcast.llm import _text as T
 
 HEAD = struct.Struct("<4sBBHQQ")
 SAMPLE = 64
-#: Ids in a block, documents tokenised together, chunks a worker remembers (in each of two generations).
-BLOCK_IDS, TOGETHER, MEMO = 1 << 20, 1024, 400_000
-#: A space between two characters that are no white space always starts a pre-token.
-_JOINT = re.compile(r"(?<=\S) (?=\S)")
+#: Ids in a block; chunks a worker remembers.
+BLOCK_IDS, MEMO = 1 << 20, 1_000_000
 _MARKS = tuple(",.;:!?")
 
 
@@ -134,36 +132,24 @@ class Chunked:
 
         self.tool = Tokenizer.from_file(path)
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        memo, kind = self.memo, f"<u{self.width}"
-        split = [_JOINT.split(t) for t in texts]
-        for s in split:
-            s[0] = "\n" + s[0]  # marks what no space precedes; no other chunk starts with white space
-        found = [list(map(memo.get, s)) for s in split]
-        missing = {c for s, f in zip(split, found) if None in f for c, x in zip(s, f) if x is None}
-        if not missing:
-            return [b"".join(f) for f in found]
-        for c in missing & self.older.keys():
-            memo[c] = self.older[c]
-        missing = [c for c in missing if c not in memo]
-        # letters and one mark after them are pre-tokens of their own: the letters are looked up alone
-        tails = [c for c in missing if c[-1:] in _MARKS and c[:-1].isalpha()]
-        whole = set(missing).difference(tails) | {c[:-1] for c in tails if c[:-1] not in memo}
-        marks = {m: np.array(self.tool.encode(m, add_special_tokens=False).ids, kind).tobytes() for m in {c[-1] for c in tails}}
-        whole = list(whole)
+        self.coder = T.ChunkCoder(T.joint_spans, self.encode_chunks, MEMO)
+        self.marks = {m: self.tool.encode(m, add_special_tokens=False).ids for m in _MARKS}
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        # letters and one mark after them are pre-tokens of their own: the letters are encoded once
+        cut = [c[:-1] if c[-1:] in _MARKS and c[c[0] == " " : -1].isalpha() else c for c in chunks]
+        whole = list(dict.fromkeys(cut))
+        coded = {}
         for a in range(0, len(whole), 20_000):
             part = whole[a : a + 20_000]
-            coded = self.tool.encode_batch_fast([c[1:] if c[:1] == "\n" else f" {c}" for c in part], add_special_tokens=False)
-            memo.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(part, coded))
-        for c in tails:
-            memo[c] = memo[c[:-1]] + marks[c[-1]]
-        get = memo.__getitem__
-        return [b"".join(map(get, s) if None in f else f) for s, f in zip(split, found)]
+            coded.update((c, e.ids) for c, e in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False)))
+        return [coded[x] if len(x) == len(c) else coded[x] + self.marks[c[-1]] for x, c in zip(cut, chunks)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for _, ids, bounds in self.coder.encode(pa.array(texts, pa.string())):
+            out += [ids[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return out
 
 
 @functools.cache
@@ -192,14 +178,16 @@ def write(df: DataFrame, path: str, target: str, end_id: int = 0, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                rows = batch.slice(at, TOGETHER)
-                for i, coded in zip(rows.column("id").to_pylist(), tok.encode(B.text_array(rows, "text").to_pylist())):
-                    if held and held + len(coded) // tok.width >= BLOCK_IDS:
+            names, done = batch.column("id").to_pylist(), 0
+            for n, flat, bounds in tok.coder.encode(B.text_array(batch, "text")):
+                raw = memoryview(flat.astype(f"<u{tok.width}")).cast("B")
+                for i, a, b in zip(names[done : done + n], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if held and held + b - a >= BLOCK_IDS:
                         yield flush()
-                    docs.append(coded + end)
+                    docs.append(bytes(raw[a * tok.width : b * tok.width]) + end)
                     ids.append(i)
-                    held += len(docs[-1]) // tok.width
+                    held += b - a + 1
+                done += n
         if docs:
             yield flush()
 
