@@ -16,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import license_scan
+
+    return license_scan.report(license_scan.scan(B.read(B.ship(spark), sf_dir, "documents")))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import bpe_trie
 
@@ -23,6 +29,16 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(bpe_trie.encode_decode(docs, tokenizer_path("word_bpe_49k.json")))
 
 
+def op6_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import language_id
+
+    docs = B.read(B.ship(spark), sf_dir, "documents")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    filters = language_id.fit(docs, remainder != 2)
+    docs = docs.select("doc_id", remainder.eqNullSafe(2).alias("held_out"), "text")
+    return language_id.predict(docs, filters, ["doc_id", "held_out"])
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import token_store
 
