@@ -183,19 +183,27 @@ class ChunkCoder:
     remembered chunks, two differing ones share a hash with a chance of limit**2 / 2**65.
     """
 
-    def __init__(self, spans, learn, limit: int, slice_bytes: int = 8 << 20) -> None:
+    def __init__(self, spans, learn, limit: int, slice_bytes: int = 4 << 20) -> None:
         self.spans, self.learn, self.limit, self.slice_bytes = spans, learn, limit, slice_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 12, np.int64)  # entry i has pool[ends[i]:ends[i + 1]]
-
-    def _grow(self, name: str, n: int) -> None:
-        old = getattr(self, name)
-        if n > len(old):
-            setattr(self, name, np.concatenate([old, np.zeros(max(n - len(old), len(old) // 2), old.dtype)]))
+        self.keys = np.zeros(0, U)  # sorted; chunk keys[i] is entry at[i]
+        self.at = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)  # entry i has pool[ends[i]:ends[i + 1]]
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _add(self, keys: np.ndarray, coded: list[list[int]]) -> None:
+        ends = self.used + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        to = int(ends[-1])
+        if to > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(to + to // 4 - self.used, np.int32)])
+        self.pool[self.used : to] = np.fromiter(chain.from_iterable(coded), np.int32, to - self.used)
+        new = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(coded), dtype=np.int32)
+        self.ends, self.used = np.concatenate([self.ends, ends]), to
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")  # merges two sorted runs
+        self.keys, self.at = both[order], np.concatenate([self.at, new])[order]
 
     def encode(self, texts: pa.Array):
         """Yields (number of texts, ids, bounds) for consecutive runs of texts."""
@@ -206,27 +214,24 @@ class ChunkCoder:
             yield self._run(texts.slice(at, to - at))
             at = to
 
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
     def _run(self, texts: pa.Array) -> tuple[int, np.ndarray, np.ndarray]:
         hashes, bounds, starts, ends = self.spans(texts)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) > self.limit:
+        if not len(distinct):
+            return len(texts), np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
+        if len(self.keys) > self.limit:
             self._clear()
-        keys = distinct.tolist()
-        entry = [self.at.get(k, -1) for k in keys]
-        missing = [i for i, e in enumerate(entry) if e < 0]
-        if missing:
+        missing = np.flatnonzero(~self._known(distinct))
+        if len(missing):
             data, _ = buffers(texts)
-            new = [data[a:b].tobytes().decode() for a, b in zip(starts[where[missing]].tolist(), ends[where[missing]].tolist())]
-            coded = self.learn(new)
-            n, sizes = len(self.at), np.fromiter(map(len, coded), np.int64, len(coded))
-            base = int(self.ends[n])
-            self._grow("ends", n + len(new) + 1)
-            self.ends[n + 1 : n + 1 + len(new)] = base + np.cumsum(sizes)
-            self._grow("pool", int(self.ends[n + len(new)]))
-            self.pool[base : int(self.ends[n + len(new)])] = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
-            for j, i in enumerate(missing):
-                entry[i] = self.at[keys[i]] = n + j
-        e = np.array(entry, np.int64)[inverse] if keys else np.zeros(0, np.int64)
+            spans = zip(starts[where[missing]].tolist(), ends[where[missing]].tolist())
+            self._add(distinct[missing], self.learn([data[a:b].tobytes().decode() for a, b in spans]))
+        e = self.at[np.searchsorted(self.keys, distinct)][inverse]
         first = self.ends[e]
         sizes = self.ends[e + 1] - first
         total = np.concatenate([[0], np.cumsum(sizes)])

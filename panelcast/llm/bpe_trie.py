@@ -28,7 +28,7 @@ from panelcast.llm import _base as B
 from panelcast.llm import _text as T
 
 #: Encodings of chunks kept by a worker, rows of an output batch.
-MEMO, OUT_ROWS = 1_000_000, 512
+MEMO, OUT_ROWS = 2_000_000, 512
 #: Beyond these code points, texts are normalised by the tokenizers library itself.
 _BEYOND = re.compile("[^\x00-ɏ]")
 _SPACE = re.compile("[\t-\r \x85\xa0]+")

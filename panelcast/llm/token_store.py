@@ -37,7 +37,7 @@ from panelcast.llm import _text as T
 HEAD = struct.Struct("<4sBBHQQ")
 SAMPLE = 64
 #: Ids in a block; chunks a worker remembers.
-BLOCK_IDS, MEMO = 1 << 20, 1_000_000
+BLOCK_IDS, MEMO = 1 << 20, 2_000_000
 _MARKS = tuple(",.;:!?")
 
 
