@@ -12,6 +12,8 @@ length. Work goes in pieces of about one megabyte (more only for a single longer
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from itertools import chain
 
@@ -19,6 +21,19 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+
+
+def _steady_memory() -> None:
+    """Let the C library give large freed arrays back at once.
+
+    By default its threshold for that rises with use, and arrays that grow a little at each step
+    then leave holes nothing fits into: a worker's memory grew by hundreds of megabytes.
+    """
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own rules
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_steady_memory()
 PIECE = 1 << 20
 
 SPACE, ALNUM = "space", "alnum"
@@ -91,7 +106,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
 
 
 def _span_hashes(piece: np.ndarray, sub: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = max(PIECE + 4096, len(piece) + 1)
+    n = max(2 * PIECE, 1 << len(piece).bit_length())  # few sizes: the powers are kept
     with np.errstate(over="ignore"):
         sums = np.zeros(len(piece) + 1, U)
         np.cumsum(sub[piece] * powers(BASE, n)[: len(piece)], out=sums[1:])
@@ -254,8 +269,8 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> t
             for j in range(1, k):
                 out += words[j : n - k + 1 + j] * mults[j]
         else:  # one pass of prefix sums instead of k
-            base = int(mults[1])
+            base, size = int(mults[1]), max(PIECE, 1 << n.bit_length())
             sums = np.zeros(n + 1, U)
-            np.cumsum(mix(words ^ U(seed)) * powers(base, n + 1)[:n], out=sums[1:])
-            out = (sums[k:] - sums[: n - k + 1]) * powers(pow(base, -1, 2**64), n + 1)[: n - k + 1]
+            np.cumsum(mix(words ^ U(seed)) * powers(base, size)[:n], out=sums[1:])
+            out = (sums[k:] - sums[: n - k + 1]) * powers(pow(base, -1, 2**64), size)[: n - k + 1]
     return mix(out)[keep], places[keep]
