@@ -39,6 +39,12 @@ def op6_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, filters, ["doc_id", "held_out"])
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import decontaminate
+
+    return decontaminate.report(B.read(spark, sf_dir, "documents"), B.read(spark, sf_dir, "benchmark"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import token_store
 
@@ -50,4 +56,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP9 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_WORDS}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLD}, '{_WORDS}') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 8) AS k, array_to_string(w[i : i + least(len(w), 8) - 1], ' ') AS gram
+      FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS gram
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+h AS (SELECT doc_id, i, p.k, item FROM p JOIN g USING (k, gram)),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS at FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_decontaminate": _OP9}
