@@ -16,6 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import secret_scan
+
+    return secret_scan.report(secret_scan.scan(B.read(B.ship(spark), sf_dir, "documents")))
+
+
 def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import topk
 
