@@ -51,6 +51,12 @@ def op6_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, filters, ["doc_id", "held_out"])
 
 
+def op7_substring_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import substring_dedup
+
+    return substring_dedup.report(substring_dedup.dedup(B.read(B.ship(spark), sf_dir, "documents"), window=35))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import decontaminate
 
@@ -95,6 +101,22 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM p),
+r AS (SELECT doc_id, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+x AS (SELECT doc_id, w[j] AS word, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d) d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.j
+      WHERE g.j IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_substring_sketch": _OP7,
+    
     "op3_topk_histogram": _OP3,
     "op9_decontaminate": _OP9}
