@@ -22,6 +22,13 @@ def op1_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(B.read(B.ship(spark), sf_dir, "documents")))
 
 
+def op2_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import ngram_lm
+
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
+    return ngram_lm.score(B.read(B.ship(spark), sf_dir, "documents"), remainder == 0)
+
+
 def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import topk
 
