@@ -64,6 +64,12 @@ def op7_substring_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(substring_dedup.dedup(B.read(B.ship(spark), sf_dir, "documents"), window=35))
 
 
+def op8_jaccard_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelcast.llm import near_dup
+
+    return near_dup.report(near_dup.join(B.read(B.ship(spark), sf_dir, "documents"), threshold=0.8, words=5))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelcast.llm import decontaminate
 
