@@ -326,13 +326,13 @@ _VECTORS = f"{_panel_sql('daily')}, v AS (SELECT unique_id, list(y ORDER BY ds)
 
 
 def _struct_sql(data: str, padded: str, cut: str, pad: str, trunc: str) -> str:
-    return f"{_VECTORS} SELECT unique_id, list_transform({data}, lambda x: round(x, 4)) AS data, {padded} AS was_padded, {cut} AS was_truncated, len(ctx) AS original_length, len({data}) AS adjusted_length, {pad} AS padding_amount, {trunc} AS truncation_amount FROM v"
+    return f"{_VECTORS} SELECT unique_id, list_transform({data}, lambda x: round(x, 9)) AS data, {padded} AS was_padded, {cut} AS was_truncated, len(ctx) AS original_length, len({data}) AS adjusted_length, {pad} AS padding_amount, {trunc} AS truncation_amount FROM v"
 
 
 def _adjusted(spark: SparkSession, d: str, spec: ModelSpec, fill: float | None) -> DataFrame:
     rows = dataset("daily", spark, d).series().select("unique_id", X.adjust_length(F.col("ctx"), spec, fill).alias("a"))
     names = ("was_padded", "was_truncated", "original_length", "adjusted_length", "padding_amount", "truncation_amount")
-    return rows.select("unique_id", F.transform("a.data", lambda x: F.round(x, 4)).alias("data"), *[F.col(f"a.{n}").cast("bigint" if "was" not in n else "boolean").alias(n) for n in names])
+    return rows.select("unique_id", F.transform("a.data", lambda x: F.round(x, 9)).alias("data"), *[F.col(f"a.{n}").cast("bigint" if "was" not in n else "boolean").alias(n) for n in names])
 
 
 _PAD = "CASE WHEN len(ctx) < 35 THEN list_concat(list_resize([]::DOUBLE[], greatest(35 - len(ctx), 0), {fill}), ctx) ELSE ctx END"
@@ -353,9 +353,9 @@ def _(spark, d):
     return _adjusted(spark, d, _TIGHT, None)
 
 
-@_query("ctx_exact", f"{_VECTORS} SELECT unique_id, list_transform(ctx[-20:], lambda x: round(x, 4)) AS short, list_transform(list_concat(list_resize([]::DOUBLE[], greatest(45 - len(ctx), 0), list_avg(ctx)), ctx), lambda x: round(x, 4)) AS long FROM v")
+@_query("ctx_exact", f"{_VECTORS} SELECT unique_id, list_transform(ctx[-20:], lambda x: round(x, 9)) AS short, list_transform(list_concat(list_resize([]::DOUBLE[], greatest(45 - len(ctx), 0), list_avg(ctx)), ctx), lambda x: round(x, 9)) AS long FROM v")
 def _(spark, d):
-    each = lambda n: F.transform(X.exact_length(F.col("ctx"), n), lambda x: F.round(x, 4))
+    each = lambda n: F.transform(X.exact_length(F.col("ctx"), n), lambda x: F.round(x, 9))
     return dataset("daily", spark, d).series().select("unique_id", each(20).alias("short"), each(45).alias("long"))
 
 
@@ -379,14 +379,14 @@ def _(spark, d):
 
 @_query(
     "ctx_sanitize_mean",
-    f"WITH g AS ({_GAPPY.replace(' OR event_id % 13 = 0', '')}) SELECT unique_id, list(round(coalesce(y, m), 4) ORDER BY ds) AS ctx FROM (SELECT *, coalesce(avg(y) OVER (PARTITION BY unique_id), 0.0) AS m FROM g) GROUP BY 1",
+    f"WITH g AS ({_GAPPY.replace(' OR event_id % 13 = 0', '')}) SELECT unique_id, list(round(coalesce(y, m), 9) ORDER BY ds) AS ctx FROM (SELECT *, coalesce(avg(y) OVER (PARTITION BY unique_id), 0.0) AS m FROM g) GROUP BY 1",
 )
 def _(spark, d):
     i = F.col("event_id")
     y = F.when(i % 7 == 0, F.lit(float("nan"))).when(i % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     rows = _read(spark, d, "events").select(F.col("user_id").alias("unique_id"), F.col("ts").alias("ds"), y.alias("y"))
     data = TSDataset.from_dataframe(rows, ForecastConfig(h=1, freq="h"))
-    return data.series().select("unique_id", F.transform(X.fill_mean(F.col("ctx")), lambda x: F.round(x, 4)).alias("ctx"))
+    return data.series().select("unique_id", F.transform(X.fill_mean(F.col("ctx")), lambda x: F.round(x, 9)).alias("ctx"))
 
 
 @_query("length_batches", f"{_panel_sql('users')}, c AS (SELECT unique_id, count(*) AS n FROM panel GROUP BY 1) SELECT unique_id, n, CAST((row_number() OVER (ORDER BY n, unique_id) - 1) // 16 AS BIGINT) AS batch FROM c")

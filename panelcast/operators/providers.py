@@ -1,7 +1,7 @@
 """Pretrained models as providers that run on the executors in Arrow batches.
 
-A provider is a small picklable object; workers load its model once and keep it (by name, device
-and generation). ``predict`` is one lazy ``mapInPandas`` over a frame with a row a series; batches
+A provider is a small picklable object; workers load its model once and keep it (by class, name,
+device and generation). ``predict`` is one lazy ``mapInPandas`` over a frame with a row a series; batches
 are numbered before they leave the JVM, so they do not depend on row order.
 """
 
@@ -67,10 +67,10 @@ _LOCK = threading.Lock()
 
 def worker_model(provider: ModelProvider, device: str, generation: int) -> Any:
     """The provider's model in this process, loaded at most once; older generations go."""
-    key = (provider.name, device, generation)
+    key = (type(provider).__qualname__, provider.name, device, generation)
     with _LOCK:
         if key not in _MODELS:
-            for old in [k for k in _MODELS if k[:2] == key[:2]]:
+            for old in [k for k in _MODELS if k[:3] == key[:3]]:
                 release(provider, _MODELS.pop(old))
             _MODELS[key] = provider.load(device)
         return _MODELS[key]
