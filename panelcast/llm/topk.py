@@ -39,7 +39,7 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(col.flatten()).reshape(-1, dim)
+    return np.asarray(col.flatten(), float).reshape(len(col), dim)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
