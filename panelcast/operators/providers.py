@@ -24,7 +24,7 @@ from panelcast.functions.context import adjust_length, exact_length, fill_mean
 from panelcast.functions.lengths import validate_prediction_length
 from panelcast.operators.ensemble import quantile_name
 from panelcast.operators.panel import TSDataset
-from panelcast.operators.shared import checkpointed
+from panelcast.operators.shared import checkpointed, ship
 
 
 @dataclass
@@ -118,6 +118,7 @@ def predict(provider: ModelProvider, dataset: TSDataset, h: int, quantiles: Sequ
 
     A series whose forecast is shorter than the horizon gets the steps there are.
     """
+    ship(dataset.df.sparkSession)
     steps = validate_prediction_length(h, provider.spec, dataset.config.strict_length_limits)
     limit = dataset.config.prediction_length_limit
     steps = min(steps, limit) if limit else steps

@@ -1,11 +1,31 @@
-"""Materialisation in the folder that all executors share."""
+"""What a cluster needs: this package on its workers, and materialisation in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the executors once per application.
+
+    Worker functions are pickled by reference, so every Python worker must be able to import
+    them; a cluster's workers share no folder with the driver.
+    """
+    sc = spark.sparkContext
+    if not any(f.endswith("panelcast_src.zip") for f in sc._python_includes):
+        target = os.path.join(tempfile.mkdtemp(), "panelcast_src.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(PACKAGE.rglob("*.py")):
+                z.write(p, p.relative_to(PACKAGE.parent))
+        sc.addPyFile(target)
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
