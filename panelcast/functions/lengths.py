@@ -89,3 +89,22 @@ def compatibility(spec, n: Column, h: int) -> Column:
         return F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
 
     return F.struct((F.size(texts(True)) == 0).alias("compatible"), texts(True).alias("issues"), texts(False).alias("recommendations"))
+
+
+def fit_exact(context: np.ndarray, length: int | None) -> np.ndarray:
+    """A vector padded on the left with its mean, or cut on the left, to exactly ``length``."""
+    x = np.asarray(context, np.float32)
+    if length is None or len(x) == length:
+        return x
+    fill = np.float32(x.mean()) if len(x) else np.float32(0)
+    return np.concatenate([np.full(max(0, length - len(x)), fill, np.float32), x[max(0, len(x) - length) :]])
+
+
+def fill_neighbours(context: np.ndarray) -> np.ndarray:
+    """Non-finite values take the last finite one before, else the first after, else 0."""
+    x = np.asarray(context, np.float32)
+    good = np.flatnonzero(np.isfinite(x))
+    if not len(good):
+        return np.zeros_like(x)
+    before = np.searchsorted(good, np.arange(len(x)), "right") - 1
+    return x[good[np.maximum(before, 0)]]

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import freq as fq
 from panelcast.functions import outputs as O
-from panelcast.functions.context import adjust_length, exact_length, fill_mean
-from panelcast.functions.lengths import validate_prediction_length
+from panelcast.functions.context import adjust_length, exact_length, fill_mean, keep_last
+from panelcast.functions.lengths import fit_exact, validate_prediction_length
 from panelcast.operators.ensemble import quantile_name
 from panelcast.operators.panel import TSDataset
 from panelcast.operators.shared import checkpointed, ship
@@ -105,8 +105,10 @@ def length_batches(series: DataFrame, batch_size: int, ordinal: str = "unique_id
 
 def _prepared(dataset: TSDataset, provider: ModelProvider) -> DataFrame:
     """A row a series with its cleaned context within the provider's limits."""
-    spec = provider.spec
-    series = dataset.series(spec.max_context_length)
+    spec, asked = provider.spec, dataset.config.context_length
+    longest = min((x for x in (spec.max_context_length, asked) if x), default=None)
+    series = dataset.series(longest if spec.truncate_to_max_context or longest == asked else None)
+    series = series.withColumn("ctx", keep_last(F.col("ctx"), asked))
     ctx = fill_mean(F.col("ctx")) if getattr(provider, "mean_fill", True) else F.col("ctx")
     exact = getattr(provider, "exact_context", None)
     fitted = F.struct(exact_length(ctx, exact).alias("data")) if exact else adjust_length(ctx, spec)
@@ -222,6 +224,8 @@ class QuantileProvider:
         return model(inputs=batch.contexts, prediction_length=batch.h, quantile_levels=levels)
 
     def predict_batch(self, model: Any, batch: Batch) -> Forecasts:
+        exact = self.exact_context or getattr(getattr(model, "config", None), "context_length", None)
+        batch.contexts = [fit_exact(c, exact) for c in batch.contexts]
         asked = O.matched_levels(self.levels, batch.quantiles)
         raw = self.call(model, batch, asked)
         n, last = len(batch.ids), [float(c[-1]) if len(c) else 0.0 for c in batch.contexts]

@@ -16,6 +16,7 @@ import pandas as pd
 
 from panelcast.functions import freq as fq
 from panelcast.functions import outputs as O
+from panelcast.functions.lengths import fill_neighbours
 from panelcast.operators.providers import Batch, DecileProvider, Forecasts, QuantileProvider, SampleProvider, start_of_context
 from panelcast.plans.device import device_to_device_map, resolve_device
 
@@ -62,6 +63,7 @@ class Moirai:
     spec: Any
     covariates: tuple[str, ...] = ("future", "past")
     history_fill: float = float("nan")
+    mean_fill: bool = False
 
     @property
     def name(self) -> str:
@@ -90,7 +92,7 @@ class Moirai:
         if key not in kept:  # predictors of the same shape are used again
             kept[key] = kind(module=module, prediction_length=batch.h, context_length=key[1], target_dim=1, feat_dynamic_real_dim=future, past_feat_dynamic_real_dim=past).create_predictor(batch_size=len(batch.ids))
         entries = []
-        for i, ctx in enumerate(batch.contexts):
+        for i, ctx in enumerate(map(fill_neighbours, batch.contexts)):
             whole = max(len(ctx), sizes[i] - batch.h)
             entry = {"start": pd.Period(start_of_context(batch.starts[i], whole, len(ctx), batch.freq), freq=fq.parse(batch.freq)[1]), "target": ctx}
             if batch.future[i]:
@@ -108,9 +110,10 @@ class PatchTST(QuantileProvider):
         from tsfm_public import PatchTSTFMForPrediction
 
         name, place = self.spec.config_fields["model_name"], resolve_device(device, allow_mps=False)
-        model = PatchTSTFMForPrediction.from_pretrained(name, device_map=device_to_device_map(place))
-        self.exact_context = getattr(getattr(model, "config", None), "context_length", None)
-        return model.eval()
+        try:
+            return PatchTSTFMForPrediction.from_pretrained(name, device_map=device_to_device_map(place)).eval()
+        except TypeError:  # versions without that argument
+            return PatchTSTFMForPrediction.from_pretrained(name).to(place).eval()
 
     def call(self, model: Any, batch: Batch, levels: list[float] | None) -> Any:
         import torch

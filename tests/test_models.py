@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import panelcast as pc
 from panelcast.functions import context as X
 from panelcast.functions import outputs as O
-from panelcast.functions.lengths import compatibility
+from panelcast.functions.lengths import compatibility, fill_neighbours, fit_exact
 from panelcast.operators.baselines import naive, seasonal_naive
 from panelcast.operators.ensemble import coverage
 from panelcast.plans.registry import ModelSpec
@@ -198,3 +198,9 @@ def test_repair_and_samples():
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         O.repair_nan(np.array([1.0]), 0.0)
+
+
+def test_array_forms():
+    nan, inf = np.nan, np.inf
+    assert fill_neighbours([nan, inf, 1, nan, 5]).tolist() == [1, 1, 1, 1, 5] and fill_neighbours([nan]).tolist() == [0]
+    assert fit_exact([1, 3], 4).tolist() == [2, 2, 1, 3] and fit_exact(range(5), 3).tolist() == [2, 3, 4] and fit_exact([], 2).tolist() == [0, 0]

@@ -109,6 +109,20 @@ def test_covariates_reach_the_provider(spark, panel):
     assert np.isnan(got["A"][0]) and got["A"][1] == 1.0 and got["B"] == [9.0]
 
 
+def test_context_length_is_honoured(panel):
+    data = pc.build_dataset(panel({"A": [1, 2, 4]}), pc.ForecastConfig(h=1, context_length=2))
+    assert P.predict(Seen(pc.get_spec("chronos")), data, 1).first().yhat == 6.0
+
+
+def test_prediction_limits_are_honoured(panel):
+    rows = panel({"A": [1, 2, 4]})
+    short = pc.build_dataset(rows, pc.ForecastConfig(h=9, prediction_length_limit=3))
+    assert P.predict(Seen(pc.get_spec("chronos")), short, 9).count() == 3
+    strict = pc.build_dataset(rows, pc.ForecastConfig(h=2000, strict_length_limits=True))
+    with pytest.raises(ValueError):
+        P.predict(Seen(pc.get_spec("chronos")), strict, 2000)
+
+
 def test_length_batches(spark):
     rows = [(f"s{i:03d}", int(n)) for i, n in enumerate(np.random.default_rng(3).integers(1, 6, 60))]
     df = P.length_batches(spark.createDataFrame(rows, "unique_id string, n int"), 8)
