@@ -320,10 +320,11 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col
     """
     signed = B.checkpointed(signatures(df, id_col, text_col, words))
     with_set = signed.filter(F.col("key").isNotNull())
-    classes = with_set.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = with_set.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = B.checkpointed(classes)
     near = connected_components(candidate_edges(classes, threshold))
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
+    # what joins on a possibly hot key is written first: then Spark can split the other side
+    sizes = B.checkpointed(near.groupBy("root").agg(F.count("*").alias("size")))
     asked = near.join(sizes, "root").join(classes.select(F.col("key").alias("node"), "pick", "copies"), "node")
     asked = asked.select(F.col("node").alias("key"), F.col("root").alias("component"), "size", "copies", "pick.id", "pick.text_hash")
     texts = df.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
@@ -333,11 +334,17 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col
     found = B.checkpointed(verified(members, threshold, words))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    tagged = with_set.join(classes.select("key", "copies"), "key").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    tagged = tagged.select("id", "text_hash", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    tagged = B.checkpointed(tagged)
-    names = tagged.groupBy("root").agg(F.min("id").alias("class_id"))
-    out = tagged.join(names, "root").select("id", "text_hash", "class_id", "n_links", F.col("copies").alias("n_copies"), "root")
+    facts = classes.select("key", "copies", "least").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    facts = B.checkpointed(facts)
+    names = B.checkpointed(facts.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("first")))
+    facts = facts.join(names, "root", "left").select(
+        "key",
+        F.coalesce("first", "least").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.col("copies").alias("n_copies"),
+        F.coalesce("root", "key").alias("root"),
+    )
+    out = with_set.select("id", "text_hash", "key").join(facts, "key").drop("key")
     alone = signed.filter(F.col("key").isNull()).select("id", "text_hash", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("root"))
     return out.unionAll(alone).withColumnRenamed("id", id_col)
 
