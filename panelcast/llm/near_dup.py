@@ -14,7 +14,7 @@ Jaccard similarity reaches ``threshold``. Steps:
 4. The forests' connected components hold all pairs that may be linked. Each is verified exactly,
    by intersecting shingle sets; links are counted and again passed on as a forest.
 
-Buckets and components beyond ``SIDE`` classes are split into blocks, every pair of blocks its own
+Buckets and components beyond ``SIDE`` classes (or ``SIDE_CHARS`` characters) are split into blocks, every pair of blocks its own
 group, so no group is unbounded and no pair is lost. Components' rounds and class tables go through
 the shared folder; no links, components or fingerprints reach the driver.
 
@@ -32,7 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import _base as B
@@ -42,7 +42,8 @@ from panelcast.llm.components import connected_components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP = 32, 4, 16
 TOLERANCE = 1e-6
-SIDE = 1024
+#: Classes, and characters of their texts, in a block of a large group.
+SIDE, SIDE_CHARS = 512, 2_000_000
 _FLAT = 1 << 16
 _CELLS = 1 << 22
 
@@ -85,11 +86,11 @@ def min_hashes(flat: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return T.mix(out)
 
 
-_SIGNED = "key bigint, text_hash bigint, sig binary, bands array<bigint>"
+_SIGNED = "key bigint, text_hash bigint, chars bigint, sig binary, bands array<bigint>"
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, key, text_hash, sig, bands) of every row; key is null without words."""
+    """(id, key, text_hash, chars, sig, bands) of every row; key is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +111,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                     for i, k, s, b in zip(full.tolist(), key.view(np.int64).tolist(), low, band.tolist()):
                         keys[i], sigs[i], bands[i] = k, s.tobytes(), b
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(keys, pa.int64()), part.column("h"), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["id", "key", "text_hash", "sig", "bands"],
+                    [part.column("id"), pa.array(keys, pa.int64()), part.column("h"), part.column("c"), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["id", "key", "text_hash", "chars", "sig", "bands"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    narrow = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.length(text_col).cast("long").alias("c"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"id {kind}, {_SIGNED}")
 
 
@@ -216,15 +217,15 @@ def pairs_within(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                     yield np.full(len(j), f + x), j
 
 
-def _grouped(df: DataFrame, by: str, size: str) -> DataFrame:
-    """Rows of groups ``by``, split into pairs of blocks where ``size`` is over SIDE.
+def _grouped(df: DataFrame, by: str, blocks: Column) -> DataFrame:
+    """Rows of groups ``by``, each split into ``blocks`` blocks (equal over a group) and their pairs.
 
     Adds ``own`` (a row's block), ``lo`` and ``hi``; a group of one block has lo = hi = 0.
     """
-    blocks = F.ceil(F.col(size) / SIDE).cast("int")
-    rows = df.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", size)
+    rows = df.withColumn("blocks", blocks.cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, by, "lo", "hi").sortWithinPartitions(by, "lo", "hi", "key")
 
@@ -253,7 +254,7 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     rows = classes.select("key", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     shared = rows.join(sizes, "band").join(classes.select("key", "sig"), "key")
-    return _grouped(shared, "band", "size").mapInArrow(run, "a bigint, b bigint")
+    return _grouped(shared, "band", F.ceil(F.col("size") / SIDE)).drop("size").mapInArrow(run, "a bigint, b bigint")
 
 
 def linked(flat: np.ndarray, bounds: np.ndarray, part: slice, cross: np.ndarray | None, ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +292,7 @@ def linked(flat: np.ndarray, bounds: np.ndarray, part: slice, cross: np.ndarray
 
 
 def verified(members: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(key, links, root) from (component, size, key, copies, text): per group of a component, how
+    """(key, links, root) from (component, blocks, key, copies, text): per group of a component, how
     many documents of other classes each class is linked to, and the forest of those links."""
     ratio = Fraction(str(threshold))
 
@@ -309,7 +310,7 @@ def verified(members: DataFrame, threshold: float, words: int) -> DataFrame:
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(links[some]), pa.array(keys[label[some]])], ["key", "links", "root"])
 
-    return _grouped(members, "component", "size").mapInArrow(run, "key bigint, links bigint, root bigint")
+    return _grouped(members, "component", F.col("blocks")).mapInArrow(run, "key bigint, links bigint, root bigint")
 
 
 def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,17 +321,18 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col
     """
     signed = B.checkpointed(signatures(df, id_col, text_col, words))
     with_set = signed.filter(F.col("key").isNotNull())
-    classes = with_set.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = with_set.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = B.checkpointed(classes)
     near = connected_components(candidate_edges(classes, threshold))
     # what joins on a possibly hot key is written first: then Spark can split the other side
-    sizes = B.checkpointed(near.groupBy("root").agg(F.count("*").alias("size")))
-    asked = near.join(sizes, "root").join(classes.select(F.col("key").alias("node"), "pick", "copies"), "node")
-    asked = asked.select(F.col("node").alias("key"), F.col("root").alias("component"), "size", "copies", "pick.id", "pick.text_hash")
+    near = near.join(classes.select(F.col("key").alias("node"), "pick", "copies", "chars"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / SIDE, F.sum("chars") / SIDE_CHARS))
+    sizes = B.checkpointed(near.groupBy("root").agg(blocks.alias("blocks")))
+    asked = near.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("component"), "blocks", "copies", "pick.id", "pick.text_hash")
     texts = df.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
     members = asked.join(texts, asked.id.eqNullSafe(texts.d_id) & (asked.text_hash == texts.d_hash))
     # rows equal in id and text both match: one is enough
-    members = members.groupBy("key", "component", "size", "copies").agg(F.first("text").alias("text"))
+    members = members.groupBy("key", "component", "blocks", "copies").agg(F.first("text").alias("text"))
     found = B.checkpointed(verified(members, threshold, words))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
