@@ -14,15 +14,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Large and small stars in turn (each node hands its larger, then its smaller neighbours to the
     smallest one it sees) until nothing changes; the rounds grow with the logarithm of a
     component's size. Every round ends in the shared folder. Minima are aggregated before
-    shuffles, and joins on a node with many edges can be split, so a large component is no
-    single task's. Null nodes, self loops and repeated edges are harmless.
+    shuffles and written before they are joined, so Spark can split the join on a node with many
+    edges. Null nodes, self loops and repeated edges are harmless.
     """
     found = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") > F.col("v")).distinct()
     found = B.checkpointed(found)
     mark = None
     while True:
         both = found.unionAll(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = B.checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # large stars: the larger neighbours of u go to u's minimum
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") > F.col("v")).distinct()
         # small stars: u and its smaller neighbours go to their minimum
