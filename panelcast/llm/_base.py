@@ -1,19 +1,16 @@
-"""Shared plumbing of the corpus operators: table access, code shipping, Arrow helpers."""
+"""Shared plumbing of the corpus operators: table access, the shared folder, Arrow helpers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
+from panelcast.operators.shared import ship
+
+__all__ = ["checkpointed", "own_column", "read", "shared_dir", "ship", "text_array"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors once per application.
-
-    Worker functions are pickled by reference, so every Python worker must be able to import
-    them; a cluster's workers share no folder with the driver.
-    """
-    sc = spark.sparkContext
-    if not any(f.endswith("panelcast_src.zip") for f in sc._python_includes):
-        target = os.path.join(tempfile.mkdtemp(), "panelcast_src.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(PACKAGE.rglob("*.py")):
-                z.write(p, p.relative_to(PACKAGE.parent))
-        sc.addPyFile(target)
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; it is set here only where the session has none (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -67,24 +48,3 @@ def text_array(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
     return col.fill_null("") if col.null_count else col
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
-
-    return df.mapInArrow(run, schema)
-
-
-def blocks_for(df: DataFrame, text: str, chars: int) -> int:
-    """How many blocks of about ``chars`` characters the texts make (one narrow scan)."""
-    total = df.select(F.sum(F.length(text))).first()[0] or 0
-    return max(1, -(-int(total) // chars))
-
-
-def binary(parts: list[bytes | np.ndarray]) -> pa.Array:
-    return pa.array([p if isinstance(p, bytes) else p.tobytes() for p in parts], pa.binary())
