@@ -141,10 +141,12 @@ class TSDataset:
 
         With ``longest`` only the newest values; n and start_ds are those of the whole series.
         """
-        rows = self.df if longest is None else newest(self.df, longest)
-        packed = rows.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("rows"))
-        vectors = packed.select("unique_id", F.col("rows.y").alias("ctx"))
-        return self.lengths().select("unique_id", "n", "start_ds", "last_ds").join(vectors, "unique_id")
+        vector = F.array_sort(F.collect_list(F.struct("ds", "y")))
+        facts = [F.count(F.lit(1)).alias("n"), F.min("ds").alias("start_ds"), F.max("ds").alias("last_ds")]
+        if longest is None:
+            return self.df.groupBy("unique_id").agg(*facts, vector.alias("r")).select("unique_id", "n", "start_ds", "last_ds", F.col("r.y").alias("ctx"))
+        tails = newest(self.df, longest).groupBy("unique_id").agg(vector.alias("r")).select("unique_id", F.col("r.y").alias("ctx"))
+        return self.df.groupBy("unique_id").agg(*facts).join(tails, "unique_id")
 
     def get_series_dict(self) -> dict[Any, Any]:
         """{id: vector of y} on the driver, kept for the next call; for small panels."""
