@@ -8,9 +8,19 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.operators.shared import ship
+from panelcast.operators import shared
 
-__all__ = ["checkpointed", "own_column", "read", "shared_dir", "ship", "text_array"]
+#: Rows of a record batch between the JVM and Python: texts can be long.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the session ready: workers get this package, and batches at most BATCH_ROWS rows."""
+    shared.ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return spark
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
