@@ -58,6 +58,28 @@ def test_network_is_trained_and_calibrated():
     assert abs(net.probability(codes).mean() - labels.mean()) < 0.1
 
 
+def covered(spans, at, to):
+    return all(any(a <= i < b for a, b, _ in spans) for i in range(at, to))
+
+
+def test_secrets_inside_longer_runs():
+    net, key = secret_scan.network(), "k9ZqT4vX1LmW8sR2bNf7HcYp"
+    for text in (f"see https://api.example.com/v1/hooks/T024/B01/{key}/notify-all-users now", f"{'lorem/ipsum-dolor/' * 40}7/{key}/{'sit-amet/' * 90}"):
+        at = text.index(key)
+        assert covered(secret_scan.scan_texts(pa.array([text]), net).get(0, []), at, at + len(key))
+    found = secret_scan.labelled_runs(1500, 99)
+    got = secret_scan.scan_texts(pa.array([x[0] for x in found]), net)
+    whole = [covered(got.get(i, []), at, to) for i, (_, _, _, at, to) in enumerate(found) if to > at]
+    wrong = [i in got for i, (_, _, _, at, to) in enumerate(found) if to == at]
+    assert np.mean(whole) >= 0.93 and np.mean(wrong) <= 0.05
+
+
+def test_pieces_are_all_of_a_candidate():
+    for n in range(1, 200):
+        spans = secret_scan.pieces(5, 5 + n)
+        assert {i for a, b in spans for i in range(a, b)} == set(range(5, 5 + n)) and all(b - a <= secret_scan.READ for a, b in spans)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     net = secret_scan.Network.new(rng)
