@@ -74,6 +74,17 @@ def test_secrets_inside_longer_runs():
     assert np.mean(whole) >= 0.93 and np.mean(wrong) <= 0.05
 
 
+def test_keys_beside_base_findings():
+    net, commit, key = secret_scan.network(), "3f" * 20, "ghp_k9ZqT4vX1LmW8sR2bNf7HcYpQ3tU6wJ5dGxE"
+    for text in (f"see /commit/{commit}/{key} end", f"see {key}/{commit} end", f"see {commit}/{key}/{commit} end", f"see {key}/token=abcdefgh end"):
+        spans, at = secret_scan.scan_texts(pa.array([text]), net)[0], text.index(key)
+        assert [s for s in spans if s[2] != "model"] == secret_scan.base_findings(text)
+        assert covered([s for s in spans if s[2] == "model"], at, at + len(key))
+        assert all(b <= x or y <= a for a, b, k in spans if k == "model" for x, y, _ in secret_scan.base_findings(text))
+    text = f"see /commit/{commit}/notify-all-users/lorem end"
+    assert secret_scan.scan_texts(pa.array([text]), net)[0] == secret_scan.base_findings(text)
+
+
 def test_pieces_are_all_of_a_candidate():
     for n in range(1, 200):
         spans = secret_scan.pieces(5, 5 + n)
