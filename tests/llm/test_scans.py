@@ -74,6 +74,23 @@ def test_secrets_inside_longer_runs():
     assert np.mean(whole) >= 0.93 and np.mean(wrong) <= 0.05
 
 
+def recall_by_family(net, seed):
+    """Share of secrets found with all characters, by family and whether they are inside a longer run."""
+    found = [(t, a, b, a, b) for t, a, b, y in secret_scan.labelled_findings(3000, seed) if y]
+    found += [x for x in secret_scan.labelled_runs(3000, seed) if x[4] > x[3]]
+    got, kept = secret_scan.scan_texts(pa.array([x[0] for x in found]), net), {}
+    for i, (text, a, b, at, to) in enumerate(found):
+        kept.setdefault((secret_scan.family(text[a:b]), to - at < b - a), []).append(covered(got.get(i, []), at, to))
+    return {k: np.mean(v) for k, v in kept.items()}
+
+
+def test_thresholds_keep_the_recall_of_every_family():
+    fresh = recall_by_family(secret_scan.network(), 98)
+    assert len(fresh) == 6 and min(fresh.values()) >= secret_scan.RECALL - 0.025, fresh  # of about 500 new secrets each
+    weak = recall_by_family(secret_scan.network(n=2000, rounds=1), 98)  # hardly trained: many secrets score below 0.5
+    assert min(weak.values()) >= secret_scan.RECALL, weak
+
+
 def test_keys_beside_base_findings():
     net, commit, key = secret_scan.network(), "3f" * 20, "ghp_k9ZqT4vX1LmW8sR2bNf7HcYpQ3tU6wJ5dGxE"
     for text in (f"see /commit/{commit}/{key} end", f"see {key}/{commit} end", f"see {commit}/{key}/{commit} end", f"see {key}/token=abcdefgh end"):
