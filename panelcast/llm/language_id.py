@@ -108,15 +108,12 @@ class Filters:
 
 
 def build_filter(texts: list[str]) -> bytes:
-    """A language's Bloom filter: the n-grams met at least twice in its sample, or all if it is small."""
-    codes = [c for t in texts for c in grams(t.encode())]
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-    values, times = np.unique(flat, return_counts=True)
-    if len(flat) > 20_000:
-        values = values[times > 1]
+    """A language's Bloom filter: all n-grams of its sample, whatever its size."""
     bits = np.zeros(1 << CELL_BITS, np.uint8)
-    for c in cells(values):
-        bits[c] = 1
+    for t in texts:
+        for codes in grams(t.encode()):
+            for c in cells(codes):
+                bits[c] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 

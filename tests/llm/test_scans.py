@@ -188,3 +188,11 @@ def test_filters_of_many_languages():
     codes = np.concatenate(list(language_id.grams(texts[66].encode())))
     counts = f.counts(codes, np.array([0, len(codes)]))
     assert f.decide(counts, np.array([len(codes)]))[0][0] == 66 and counts[0, 66] == len(codes)
+
+
+def test_filters_keep_every_ngram_at_any_size():
+    once = "zwölf boxkämpfer jagen viktor"
+    codes = np.concatenate(list(language_id.grams(once.encode())))
+    for times in (1, 2000):  # below and far above 20,000 n-grams
+        f = language_id.Filters.of(["aa"], [language_id.build_filter([once, *["lorem ipsum dolor sit amet "] * times])])
+        assert f.counts(codes, np.array([0, len(codes)]))[0, 0] == len(codes)
