@@ -48,6 +48,16 @@ def test_suspects_lose_nothing():
             assert i in seen, t
 
 
+def test_suspects_of_hex_runs_over_several_texts():
+    rng = random.Random(8)
+    texts = ["a word of the end", "abcdef" * 5, "", "c" * 30]
+    texts += ["".join(rng.choice(["abcdef", "deadbeef" * 3, "the end", "fade", " ", "AKIA", "0123456789abcdef"]) for _ in range(rng.randrange(8))) for _ in range(3000)]
+    seen = set(secret_scan.suspects(pa.array(texts)).tolist())
+    for i, t in enumerate(texts):
+        if secret_scan.base_findings(t) or secret_scan.candidates(t):
+            assert i in seen, t
+
+
 def test_network_is_trained_and_calibrated():
     net = secret_scan.network()
     found = secret_scan.labelled_findings(1500, 99)
