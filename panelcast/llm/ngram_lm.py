@@ -6,7 +6,8 @@ smoothed n-grams form an automaton: a state for the empty history (root) and one
 token as history; an arc for every pair seen, weighing (c(h,w) + PRIOR * P1(w)) / (c(h) + PRIOR);
 and from each state a failure arc to the root weighing PRIOR / (c(h) + PRIOR), where every token has
 an arc of weight P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). Each history's probabilities sum to 1.
-A text is read once from left to right: the state is carried, and log10 weights add up.
+At order 2 the state is the previous token, so no states or arcs are built or traversed: a closed form
+over all pairs at once stands in for it and gives the same scores; log10 weights add up.
 
 The automaton of a whole corpus is larger than any one machine should hold, so each block of
 documents gets exactly the arcs its texts can take: it asks for the counts of its distinct n-grams
