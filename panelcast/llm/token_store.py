@@ -46,6 +46,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        self._bytes = low.tobytes(), high.tobytes()
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -85,17 +86,20 @@ class EliasFano:
         """Value i: the sampled bit position, then a scan of at most SAMPLE set bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
+        low, high = self._bytes
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = at >> 3
-        word = int(self.high[byte]) >> (at & 7) << (at & 7)
+        word = int.from_bytes(high[byte : byte + 8], "little") >> (at & 7) << (at & 7)
         while (c := word.bit_count()) <= left:
             left -= c
-            byte += 1
-            word = int(self.high[byte])
+            byte += 8
+            word = int.from_bytes(high[byte : byte + 8], "little")
         for _ in range(left):
             word &= word - 1
         pos = byte * 8 + (word & -word).bit_length() - 1
-        return ((pos - i) << self.low_bits) | int(self._low(np.array([i]))[0])
+        bit = i * self.low_bits
+        value = int.from_bytes(low[bit >> 3 : (bit + self.low_bits + 7) >> 3], "little") >> (bit & 7)
+        return ((pos - i) << self.low_bits) | (value & ((1 << self.low_bits) - 1))
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -205,6 +209,19 @@ def write(df: DataFrame, path: str, target: str, end_id: int = 0, id_col: str =
     blocks.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(target)
 
 
+def document(bounds: EliasFano, i: int) -> tuple[int, int]:
+    """Where document i of a block starts and ends."""
+    return bounds.select(i), bounds.select(i + 1)
+
+
+def block_documents(payload: bytes) -> tuple[np.ndarray, list[int]]:
+    """(start and end, CRC-32) of each document of a block, each fetched by select."""
+    flat, bounds = open_block(payload)
+    wide = memoryview(flat.astype("<u4")).cast("B")
+    at = [document(bounds, i) for i in range(bounds.n - 1)]
+    return np.array(at, np.int64).reshape(-1, 2), [zlib.crc32(wide[4 * a : 4 * b]) for a, b in at]
+
+
 def read_documents(spark, target: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document of a token file, from its blocks."""
     blocks = spark.read.parquet(target)
@@ -218,12 +235,10 @@ def read_documents(spark, target: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                flat, bounds = open_block(batch.column("payload")[k].as_py())
-                ends, wide = bounds.all(), memoryview(flat.astype("<u4")).cast("B")
-                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                start = ends[:-1] + starts[batch.column("part")[k].as_py()] + batch.column("before")[k].as_py()
+                at, crc = block_documents(batch.column("payload")[k].as_py())
+                start = at[:, 0] + starts[batch.column("part")[k].as_py()] + batch.column("before")[k].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[k].values, pa.array(start), pa.array(np.diff(ends)), pa.array(crc, pa.int64())],
+                    [batch.column("ids")[k].values, pa.array(start), pa.array(at[:, 1] - at[:, 0]), pa.array(crc, pa.int64())],
                     ["id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -99,3 +99,15 @@ def test_store_query(docs, monkeypatch):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == sorted((w[0] is None, w[0] or 0, len(w[1]), crc(w[1])) for w in want)
+
+
+def test_documents_are_fetched_by_select(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 60_000, n).astype("<u2") for n in (0, 3, 0, 0, 900, 1, *[5] * 200, 70_000)]
+    monkeypatch.setattr(token_store.EliasFano, "all", None)
+    at, crc = token_store.block_documents(token_store.pack_block([p.tobytes() for p in parts], 2))
+    ends = np.cumsum([0, *map(len, parts)])
+    assert at.tolist() == np.stack([ends[:-1], ends[1:]], axis=1).tolist()
+    assert crc == [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
+    empty, none = token_store.block_documents(token_store.pack_block([], 2))
+    assert empty.shape == (0, 2) and none == []
