@@ -2,26 +2,28 @@
 
 Benchmark items are normalised to words (A-Z lower-cased, then
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) and cut into windows of ``WINDOW`` words; an item of fewer
-words is one window. The set of windows, hashed, is broadcast if it has at most ``BROADCAST_ROWS``
-rows and joined by shuffle beyond that. One scan of the documents generates every window's hash,
-looks it up, and compares the words themselves. Only hits, and one row a document, are shuffled.
+words is one window. The windows' hashes are broadcast if they, their words and their items measure at
+most ``BROADCAST_BYTES``, and joined by shuffle beyond that. One scan of the documents generates every
+window of every size the benchmark has, with its own words and nothing else of the text; its hash is
+looked up and the words themselves are compared. On the broadcast path only hits, and one row a
+document, are shuffled; on the other what is shuffled grows in proportion to the words.
 
 Defined results: null has no words, so it is never hit; an item without words never occurs; rows
 equal in id and text stay as many rows and get equal results; an empty benchmark leaves every
-document clean; other columns are not read, whatever their names. Texts are scanned whole.
+document clean; other columns are not read, whatever their names. Texts are scanned whole; of a very
+long one, the array of its words is held once, and a task holds the hits of one document at a time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import _base as B
 
 WINDOW = 8
-BROADCAST_ROWS = 4_000_000
+#: What is broadcast measures at most this much as text; the driver holds a few times as much.
+BROADCAST_BYTES = 32 << 20
 _ASCII = [chr(i) for i in range(128)]
 _OTHER = "".join(c for c in _ASCII if not ("a" <= c <= "z" or "0" <= c <= "9"))
 _FOLDED = "".join(c.lower() if "A" <= c <= "Z" else " " for c in _OTHER)
@@ -49,31 +51,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ``rows`` counts its repetitions, ``found`` is the sorted array of (at, size) of windows that
     occur (places from 1), ``items`` the sorted distinct ids of their items.
     """
-    grams = windows(benchmark).persist()
-    sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most WINDOW numbers
-    small = grams.count() <= BROADCAST_ROWS
+    grams = B.checkpointed(windows(benchmark))
+    text_bytes = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    told = grams.agg(F.collect_set("size"), F.sum(text_bytes(F.col("gram")) + text_bytes(F.col("items")) + 32)).first()
+    sizes, small = sorted(told[0]), (told[1] or 0) <= BROADCAST_BYTES  # at most WINDOW sizes
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    branches = []
-    for k in sorted(sizes, reverse=True) or [WINDOW]:
-        first = 0 if not branches else 1  # place 0 stands for the document itself
-        # F.sequence would count downwards for short texts, so those are left out where nothing starts
-        rows = base.select("id", "text_hash", "w", F.explode(F.sequence(F.lit(first), F.greatest(F.size("w") - k + 1, F.lit(first)))).alias("at"))
-        rows = rows.select("id", "text_hash", "w", "at", F.when((F.col("at") > 0) & (F.col("at") + k - 1 <= F.size("w")), F.xxhash64(F.slice("w", F.greatest("at", F.lit(1)), k))).alias("h"))
-        side = grams.filter(F.col("size") == k).select("hash", "gram", F.col("items").alias("its"))
-        joined = rows.join(F.broadcast(side) if small else side, rows.h == side.hash, "left")
-        joined = joined.withColumn("hit", F.slice("w", F.greatest("at", F.lit(1)), k) == F.col("gram"))
-        joined = joined.filter((F.col("at") == 0) | F.col("hit"))
-        mark = F.struct(F.col("at"), F.lit(k).alias("size"))
-        branches.append(
-            joined.select(
-                "id",
-                "text_hash",
-                F.when(F.col("at") == 0, F.size("w")).alias("n"),
-                F.when(F.col("hit"), mark).alias("mark"),
-                F.when(F.col("hit"), F.col("its")).alias("its"),
-            )
-        )
-    every = reduce(DataFrame.unionAll, branches)
+    # size 0 at place 0 stands for the document itself
+    rows = base.select("id", "text_hash", "w", F.explode(F.array(*map(F.lit, (0, *sizes)))).alias("size"))
+    places = F.when(F.col("size") == 0, F.array(F.lit(0))).when(F.size("w") >= F.col("size"), F.sequence(F.lit(1), F.size("w") - F.col("size") + 1))
+    rows = rows.select("id", "text_hash", "w", "size", F.explode(places).alias("at"))
+    rows = rows.select("id", "text_hash", "size", "at", F.when(F.col("at") == 0, F.size("w")).alias("n"), F.when(F.col("at") > 0, F.slice("w", F.greatest("at", F.lit(1)), F.col("size"))).alias("own"))
+    # documents get a key of their own, so that rows without a window do not meet in one task
+    rows = rows.withColumn("h", F.when(F.col("at") > 0, F.xxhash64("own")).otherwise(F.xxhash64("id", "text_hash")))
+    side = grams.select(F.col("size").alias("g_size"), "hash", "gram", F.col("items").alias("its"))
+    joined = rows.join(F.broadcast(side) if small else side, (rows.h == side.hash) & (rows["size"] == side.g_size), "left")
+    joined = joined.withColumn("hit", F.col("own") == F.col("gram")).filter((F.col("at") == 0) | F.col("hit"))
+    every = joined.select("id", "text_hash", "n", F.when(F.col("hit"), F.struct("at", "size")).alias("mark"), F.when(F.col("hit"), F.col("its")).alias("its"))
     return every.groupBy("id", "text_hash").agg(
         F.count("n").alias("rows"),
         F.max("n").cast("long").alias("n_words"),

@@ -254,10 +254,79 @@ def test_leaks_by_brute_force(spark, docs):
     assert got == sorted(want, key=str)
 
 
-def test_leaks_without_broadcast(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    assert decontaminate.report(docs(["quick brown fox jumps over the lazy dog"]), bench).first().n_items == 2
+ALL_SIZES = [(100 + k, " ".join(f"t{k}x{j}" for j in range(k))) for k in range(1, 12)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def no_broadcast(spark, monkeypatch):
+    """Neither the operator nor Spark itself broadcasts anything."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def leak_texts():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice([*(t for _, t in ALL_SIZES), "filler", "quick brown fox jumps over the lazy dog", "t5x0 t5x1"]) for _ in range(rng.randrange(9))) for _ in range(40)]
+    return [*texts, None, "", "quick brown fox jumps over the lazy dog", "word " * 50_000 + "short item " + "w " * 50_000]
+
+
+def check_leaks(spark, docs):
+    items, texts = [*ITEMS, *ALL_SIZES], leak_texts()
+    frame = decontaminate.report(docs(texts), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = rows_by_id(frame, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(((i, *r) for i, r in enumerate(brute_leaks(texts, items))), key=str)
+    assert sum(r[2] > 0 for r in got) > 20
+    return plan_of(frame)
+
+
+def test_leaks_of_every_item_size(spark, docs):
+    assert "BroadcastHashJoin" in check_leaks(spark, docs)
+
+
+def test_leaks_without_broadcast(spark, docs, no_broadcast):
+    plan = check_leaks(spark, docs)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_leaks_read_the_documents_once(spark, docs, data_dir, no_broadcast, tmp_path):
+    docs(leak_texts()).select("doc_id", "text").write.parquet(f"{tmp_path}/d")
+    frame = decontaminate.report(spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame([*ITEMS, *ALL_SIZES], "item_id bigint, text string"))
+    assert plan_of(frame).split("== Initial Plan ==")[0].count("FileScan parquet") == 1
+
+
+def test_leaks_shuffle_in_proportion_to_the_words(spark, docs, no_broadcast):
+    """A document twice as long sends about twice as much through the join."""
+    def sent(n):
+        frame = decontaminate.report(docs([" ".join(f"u{i}" for i in range(n))]), spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+        frame.collect()
+        total, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+        while todo:
+            p = todo.pop()
+            name = p.nodeName()
+            if name == "AdaptiveSparkPlan":
+                todo.append(p.executedPlan())
+                continue
+            if name.endswith("QueryStage"):
+                todo.append(p.plan())
+                continue
+            if name == "Exchange":
+                total = max(total, p.metrics().apply("dataSize").value())
+            kids = p.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+        return total
+
+    small, large = sent(2000), sent(8000)
+    assert 3 < large / small < 5
 
 
 def test_cleaning(spark, docs):
