@@ -6,28 +6,32 @@ Jaccard similarity reaches ``threshold``. Steps:
 
 1. Documents with equal sets form a class; only classes are compared from here on.
 2. ``BANDS`` bands of ``ROWS`` MinHash values each deal classes into buckets; a pair at similarity 0.8
-   misses all buckets with a chance of about 5e-8.
-3. In a bucket, pairs are compared by their MinHash values, ``STEP`` at a time. After each step
-   the posterior probability that the similarity reaches the threshold, given the matches so far and
-   a uniform prior, must not lie below ``TOLERANCE``. A bucket passes on a spanning forest of the
-   pairs left, never the pairs.
-4. The forests' connected components hold all pairs that may be linked. Each is verified exactly,
-   by intersecting shingle sets; links are counted and again passed on as a forest.
-
-Buckets and components beyond ``SIDE`` classes (or ``SIDE_CHARS`` characters) are split into blocks, every pair of blocks its own
-group, so no group is unbounded and no pair is lost. Components' rounds and class tables go through
-the shared folder; no links, components or fingerprints reach the driver.
+   misses all buckets with a chance of about 5e-8. Buckets are joined into groups that hold all pairs
+   of candidates: one of up to ``SIDE`` classes by its pairs that the pruning below leaves, a larger
+   one whole, as a star around its first class, without comparing anything.
+3. In a group, pairs are compared by their MinHash values, ``STEP`` at a time. After each step the
+   posterior probability that the similarity reaches the threshold, given the matches so far and
+   a uniform prior, must not lie below ``TOLERANCE``; a pair that falls below is dropped for good.
+4. Only the pairs left are verified exactly, by intersecting shingle sets, where they are found: no
+   pairs are sent anywhere. Links are counted, and a spanning forest of them gives the classes of
+   linked documents.
+
+A group of many classes (or characters) is split into blocks, every pair of blocks a task's work of
+its own, so no group is unbounded and no pair is lost. A text is sent once for each block of its group.
+Components' rounds and class tables go through the shared folder; no links, components or
+fingerprints reach the driver.
 
 Defined results: null text or a text without words has no set, hence no links and a class of its
 own; rows equal in id and text are linked copies; null ids take part; an empty table gives an empty
-table. ``class_id`` is the smallest id of the class's documents (null if all are null). Sets of
-equal 64-bit fingerprint count as equal: for n different sets the chance of an error is n**2 / 2**65.
+table; a very long text is hashed in pieces, its set is held whole. ``class_id`` is the smallest id
+of the class's documents (null if all are null). Sets of equal 64-bit fingerprint count as equal, and
+shingles of equal 64-bit hash as one: for n different ones the chance of an error is n**2 / 2**65.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -42,8 +46,13 @@ from panelcast.llm.components import connected_components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP = 32, 4, 16
 TOLERANCE = 1e-6
-#: Classes, and characters of their texts, in a block of a large group.
-SIDE, SIDE_CHARS = 512, 2_000_000
+#: Largest bucket that is compared before it joins a group.
+SIDE = 512
+#: A block's classes and characters at most (on average, as hashing deals them); from LEAST classes a
+#: block on, a group is split into up to SPREAD blocks, so that several tasks share it.
+BLOCK, BLOCK_CHARS, LEAST, SPREAD = 1024, 2_000_000, 160, 12
+#: Rows of a shuffle partition where their number is known.
+PART_ROWS = 100_000
 _FLAT = 1 << 16
 _CELLS = 1 << 22
 
@@ -217,29 +226,32 @@ def pairs_within(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                     yield np.full(len(j), f + x), j
 
 
-def _grouped(df: DataFrame, by: str, blocks: Column) -> DataFrame:
+def blocks_of(classes: Column, chars: Column) -> Column:
+    """How many blocks a group is split into."""
+    spread = F.least(F.lit(SPREAD), F.ceil(classes / LEAST))
+    return F.greatest(F.ceil(classes / BLOCK), F.ceil(chars / BLOCK_CHARS), spread, F.lit(1)).cast("int")
+
+
+def block_pairs(members: DataFrame, by: str) -> DataFrame:
     """Rows of groups ``by``, each split into ``blocks`` blocks (equal over a group) and their pairs.
 
     Adds ``own`` (a row's block), ``lo`` and ``hi``; a group of one block has lo = hi = 0.
     """
-    rows = df.withColumn("blocks", blocks.cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = members.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, by, "lo", "hi").sortWithinPartitions(by, "lo", "hi", "key")
+    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
 
 
-def _edges(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.flatnonzero(label != np.arange(len(label)))
-    return keys[rows], keys[label[rows]]
+def partitions(df: DataFrame, rows: int) -> int:
+    """Partitions for a shuffle of ``rows`` rows: the session's number, more where that is too few."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
 
-def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): spanning forests of the pairs of classes that no step pruned."""
+def candidate_groups(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges whose connected components hold every pair of candidates (see the module's text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in runs(batches, ["band", "lo", "hi"]):
+        for table, starts in runs(batches, ["band"]):
             keys = np.asarray(table.column("key").combine_chunks())
             sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
             a, b = [], []
@@ -248,69 +260,93 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
                 a.append(i[left])
                 b.append(j[left])
             if a:
-                x, y = _edges(keys, forest(len(keys), np.concatenate(a), np.concatenate(b)))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                label = forest(len(keys), np.concatenate(a), np.concatenate(b))
+                more = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[more]), pa.array(keys[label[more]])], ["a", "b"])
 
     rows = classes.select("key", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    shared = rows.join(sizes, "band").join(classes.select("key", "sig"), "key")
-    return _grouped(shared, "band", F.ceil(F.col("size") / SIDE)).drop("size").mapInArrow(run, "a bigint, b bigint")
-
-
-def linked(flat: np.ndarray, bounds: np.ndarray, part: slice, cross: np.ndarray | None, ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the sets ``part`` whose exact similarity reaches ``ratio``.
-
-    With ``cross`` (a row's side), only pairs of different sides.
-    """
-    n = part.stop - part.start
-    sizes = np.diff(bounds[part.start : part.stop + 1])
-    if n == 2:
-        a, b = (flat[bounds[k] : bounds[k + 1]] for k in (part.start, part.start + 1))
-        common = np.array([[0, len(np.intersect1d(a, b, assume_unique=True))], [0, 0]])
-    else:
-        # rows by shared shingles; a product of 0/1 matrices counts common ones, columns in pieces
-        own = flat[bounds[part.start] : bounds[part.stop]]
-        _, of, times = np.unique(own, return_inverse=True, return_counts=True)
-        rows = np.repeat(np.arange(n), sizes)
-        shared = times[of] > 1
-        column = (np.cumsum(times > 1) - 1)[of[shared]]
-        rows = rows[shared]
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
-        width = max(256, min(4096, _CELLS // n))
-        common = np.zeros((n, n), np.float32)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, (at, at + width))
-            piece = np.zeros((n, width), np.float32)
-            piece[rows[a:b], column[a:b] - at] = 1
-            common += piece @ piece.T
-    union = sizes[:, None] + sizes[None, :] - common
-    fine = np.triu(common * ratio.denominator >= ratio.numerator * union, 1)
-    if cross is not None:
-        fine &= cross[:, None] != cross[None, :]
-    return np.nonzero(fine)
-
-
-def verified(members: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(key, links, root) from (component, blocks, key, copies, text): per group of a component, how
-    many documents of other classes each class is linked to, and the forest of those links."""
+    # written first: then Spark can split the other side of a join on a hot bucket
+    sizes = B.checkpointed(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("first")).filter(F.col("size") > 1))
+    told = sizes.agg(F.sum(F.when(F.col("size") <= SIDE, F.col("size")))).first()[0] or 0
+    small = rows.join(sizes.filter(F.col("size") <= SIDE).select("band"), "band").join(classes.select("key", "sig"), "key")
+    small = small.repartition(partitions(classes, told), "band").sortWithinPartitions("band", "key")
+    large = rows.join(sizes.filter(F.col("size") > SIDE), "band").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    return small.mapInArrow(run, "a bigint, b bigint").unionAll(large)
+
+
+def unpruned(sigs: np.ndarray, side: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of rows that no step prunes, in pieces; with ``side``, only pairs of different sides."""
+    n = len(sigs)
+    first, least = sigs[:, :STEP], least_matches(threshold, TOLERANCE, sigs.shape[1])[0]
+    per = max(1, _CELLS // (STEP * max(1, n)))
+    for x in range(0, n - 1, per):
+        rows = np.arange(x, min(x + per, n - 1))
+        fine = (first[rows, None] == first[None, x + 1 :]).sum(2, dtype=np.int8) >= least
+        fine &= np.arange(x + 1, n)[None, :] > rows[:, None]
+        if side is not None:
+            fine &= side[rows, None] != side[None, x + 1 :]
+        i, j = np.nonzero(fine)
+        i, j = rows[i], j + x + 1
+        left = survivors(sigs, i, j, threshold)
+        if len(left):
+            yield i[left], j[left]
+
+
+def common_shingles(flat: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets i[k] and j[k] share."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    if len(i) <= 2 * len(used):
+        sets = {k: flat[bounds[k] : bounds[k + 1]] for k in used.tolist()}
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+    # many pairs of few sets: a product of 0/1 matrices counts common shingles, columns in pieces
+    n, sizes = len(used), (bounds[1:] - bounds[:-1])[used]
+    own = np.concatenate([flat[bounds[k] : bounds[k + 1]] for k in used.tolist()])
+    _, of, times = np.unique(own, return_inverse=True, return_counts=True)
+    shared = times[of] > 1
+    rows, column = np.repeat(np.arange(n), sizes)[shared], (np.cumsum(times > 1) - 1)[of[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    width = max(256, min(4096, _CELLS // n))
+    common = np.zeros((n, n), np.float32)
+    for at_column in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (at_column, at_column + width))
+        piece = np.zeros((n, width), np.float32)
+        piece[rows[a:b], column[a:b] - at_column] = 1
+        common += piece @ piece.T
+    return common[at[: len(i)], at[len(i) :]].astype(np.int64)
+
+
+def verified(members: DataFrame, rows: int, threshold: float, words: int) -> DataFrame:
+    """(key, links, root) from (component, blocks, key, copies, sig, text), ``rows`` of them with their
+    blocks: per pair of blocks, how many documents of other classes each class is linked to, and the
+    forest of those links. Pairs are pruned by ``sig`` and, where they stay, verified by the sets."""
     ratio = Fraction(str(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["component", "lo", "hi"]):
             keys, copies, own, lo, hi = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "copies", "own", "lo", "hi"))
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
             flat, bounds = shingle_sets(B.text_array(table, "text"), words)
+            sizes = np.diff(bounds)
             links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if b - a > 1:
-                    i, j = linked(flat, bounds, slice(a, b), own[a:b] if lo[a] != hi[a] else None, ratio)
-                    np.add.at(links, a + i, copies[a + j])
-                    np.add.at(links, a + j, copies[a + i])
-                    label[a:b] = a + forest(b - a, i, j)
+                if b - a < 2:
+                    continue
+                pairs = [(a + i, a + j) for i, j in unpruned(sigs[a:b], own[a:b] if lo[a] != hi[a] else None, threshold)]
+                if not pairs:
+                    continue
+                i, j = (np.concatenate(x) for x in zip(*pairs))
+                common = common_shingles(flat, bounds, i, j)
+                fine = common * ratio.denominator >= ratio.numerator * (sizes[i] + sizes[j] - common)
+                i, j = i[fine], j[fine]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                label[a:b] = a + forest(b - a, i - a, j - a)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(links[some]), pa.array(keys[label[some]])], ["key", "links", "root"])
 
-    return _grouped(members, "component", F.col("blocks")).mapInArrow(run, "key bigint, links bigint, root bigint")
+    spread = members.repartition(partitions(members, rows), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "key")
+    return spread.mapInArrow(run, "key bigint, links bigint, root bigint")
 
 
 def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,17 +359,17 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col
     with_set = signed.filter(F.col("key").isNotNull())
     classes = with_set.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = B.checkpointed(classes)
-    near = connected_components(candidate_edges(classes, threshold))
+    near = connected_components(candidate_groups(classes, threshold))
     # what joins on a possibly hot key is written first: then Spark can split the other side
-    near = near.join(classes.select(F.col("key").alias("node"), "pick", "copies", "chars"), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / SIDE, F.sum("chars") / SIDE_CHARS))
-    sizes = B.checkpointed(near.groupBy("root").agg(blocks.alias("blocks")))
-    asked = near.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("component"), "blocks", "copies", "pick.id", "pick.text_hash")
+    near = near.join(classes.select(F.col("key").alias("node"), "pick", "copies", "chars", "sig"), "node")
+    sizes = B.checkpointed(near.groupBy("root").agg(blocks_of(F.count("*"), F.sum("chars")).alias("blocks"), F.count("*").alias("size")))
+    rows = sizes.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    asked = near.join(sizes.drop("size"), "root").select(F.col("node").alias("key"), F.col("root").alias("component"), "blocks", "copies", "sig", "pick.id", "pick.text_hash")
     texts = df.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
     members = asked.join(texts, asked.id.eqNullSafe(texts.d_id) & (asked.text_hash == texts.d_hash))
     # rows equal in id and text both match: one is enough
-    members = members.groupBy("key", "component", "blocks", "copies").agg(F.first("text").alias("text"))
-    found = B.checkpointed(verified(members, threshold, words))
+    members = members.groupBy("key", "component", "blocks", "copies", "sig").agg(F.first("text").alias("text"))
+    found = B.checkpointed(verified(block_pairs(members, "component"), rows, threshold, words))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     facts = classes.select("key", "copies", "least").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -357,7 +393,8 @@ def report(joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def one_of_each(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns kept, with one row of each class of linked rows: the one of the
-    smallest id (null first) and, of those, the smallest hash of the text. Rows without a set stay."""
+    smallest id (null first) and, of those, the smallest hash of the text; of rows equal in id and text,
+    that with the smallest hash of all columns. Rows without a set stay."""
     found = join(df, threshold, words, id_col, text_col)
     per_row = found.groupBy("root", F.col(id_col).alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.count("*").alias("k_rows"))
     kept = per_row.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("k_id", "k_hash", "k_rows")).alias("k")).select("k.*")
@@ -369,4 +406,6 @@ def one_of_each(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     matched = df.join(kept, same).select(*[df[c] for c in df.columns], k_rows)
     once, often = matched.filter(F.col(k_rows) == 1).drop(k_rows), matched.filter(F.col(k_rows) > 1).drop(k_rows)
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return once.unionAll(often.dropDuplicates([id_col, text_col])).unionAll(df.filter(blank))
+    order = F.xxhash64(*[F.col(c).cast("string") for c in df.columns])
+    one = often.groupBy(id_col, F.xxhash64(text_col)).agg(F.min_by(F.struct(*df.columns), order).alias("row")).select("row.*")
+    return once.unionAll(one).unionAll(df.filter(blank))

@@ -161,9 +161,10 @@ def brute_join(texts, words=5, threshold=0.8):
     return [(i, root[i], len(linked[i]), sum(bool(s) and s == sets[i] for s in sets) or 1) for i in range(n)]
 
 
-@pytest.mark.parametrize("side", [1024, 4])
-def test_join_by_brute_force(docs, monkeypatch, side):
-    monkeypatch.setattr(near_dup, "SIDE", side)  # small: groups split into pairs of blocks
+@pytest.mark.parametrize("side, block, least", [(512, 1024, 160), (4, 4, 2), (1, 1024, 5)])
+def test_join_by_brute_force(docs, monkeypatch, side, block, least):
+    for name, value in (("SIDE", side), ("BLOCK", block), ("LEAST", least), ("PART_ROWS", 50 * block)):
+        monkeypatch.setattr(near_dup, name, value)  # small: buckets join whole, groups split into pairs of blocks
     rng = random.Random(8)
     base = [f"v{rng.randrange(500)}" for _ in range(120)]
     family = []
@@ -192,6 +193,44 @@ def test_repeated_rows_leave_one(docs):
     assert [r.doc_id for r in near_dup.one_of_each(frame).collect()] == [5]
 
 
+def test_rows_that_differ_in_other_columns_leave_one(docs):
+    frame = docs([(5, "a b c d e f"), (5, "a b c d e f"), (9, "a b c d e f")]).withColumn("source", F.monotonically_increasing_id().cast("string"))
+    assert len({near_dup.one_of_each(frame.coalesce(n)).first().source for n in (1, 2)}) == 1
+
+
+def test_very_long_texts_are_joined(docs):
+    rng = random.Random(4)
+    long = [f"y{rng.randrange(10**6)}" for _ in range(300_000)]
+    near = [w if i % 100 else "z" for i, w in enumerate(long)]
+    far = [w if i % 8 else "z" for i, w in enumerate(long)]
+    got = rows_by_id(near_dup.report(near_dup.join(docs([" ".join(t) for t in (long, near, far)]))), "class_id", "n_links")
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 2, 0)]
+
+
+def test_pruned_pairs_are_not_verified():
+    """Pairs left by the pruning are all that is verified: their sets are met, the others' never."""
+    rng = np.random.default_rng(6)
+    sigs = rng.integers(0, 256, (300, 128), dtype=np.uint8)
+    sigs[200:] = sigs[:100]
+    want = {(i, i + 200) for i in range(100)}
+    for side in (None, np.arange(300) // 200):
+        got = [p for i, j in near_dup.unpruned(sigs, side, 0.8) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want
+    side = np.arange(300) % 2  # rows i and i + 200 are of one side
+    assert not list(near_dup.unpruned(sigs, side, 0.8))
+
+
+@pytest.mark.parametrize("n", [3, 60])
+def test_common_shingles_of_pairs(n):
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 120)).astype(np.uint64)) for _ in range(n)]
+    flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    i, j = np.triu_indices(n, 1)
+    for pick in (slice(None), slice(0, 2)):
+        want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i[pick], j[pick])]
+        assert near_dup.common_shingles(flat, bounds, i[pick], j[pick]).tolist() == want
+
+
 def test_posterior_limits():
     least = near_dup.least_matches(0.8, 1e-6, 128)
     assert list(least) == sorted(least) and 0 < least[0] < 16 and least[-1] < 0.8 * 128
