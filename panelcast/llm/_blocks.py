@@ -3,29 +3,76 @@
 Counting windows or n-grams of a whole corpus needs each key's total at every place that holds the
 key. Here documents are dealt into blocks of bounded size by a hash (one shuffle of the texts, which
 Spark reuses for every pass). A block sends each bucket of the key space one message with its
-distinct keys of that bucket; the bucket adds up what all blocks sent and answers each with one
-message in the same order. A frequent key costs a message one entry, however often it occurs, so
-no key is hot; a bucket holds an equal share of the hash space. Nothing reaches the driver.
+distinct keys of that bucket, and none where it has no such keys, so there are never more messages than
+keys; the bucket adds up what all blocks sent and answers each with one message in the same order.
+A frequent key costs a message one entry, however often it occurs, so no key is hot; a bucket holds
+an equal share of the hash space. Nothing reaches the driver.
+
+Rows equal in id and text are dealt by the input partition they come from, so a hot row does not fill
+one block; within a block they are collapsed first, and what is learned of one holds for all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text in a block. At corpus size T, blocks * buckets messages are sent, so this
-#: should grow as the square root of T: 8M suits up to about a terabyte, 256M suits 100 TB.
-BLOCK_CHARS = 8_000_000
+#: Characters of text in a block: up to a terabyte, and at most. In between the size grows with the
+#: square root of the corpus, as blocks times buckets bounds the messages.
+BLOCK_CHARS, MOST_CHARS, UP_TO = 8_000_000, 64_000_000, 10**12
+#: Small corpora are dealt into a block a core, of this size at least.
+SMALL_CHARS = 2_000_000
+MOST_PARTITIONS = 100_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Characters in the corpus, blocks (and buckets), shuffle partitions."""
+
+    chars: int
+    n: int
+    partitions: int
+
+
+def block_chars(total: int) -> int:
+    return max(BLOCK_CHARS, min(MOST_CHARS, int(BLOCK_CHARS * (total / UP_TO) ** 0.5)))
 
 
-def blocked(df: DataFrame, n: int, id_col: str, text_col: str, **more: Column) -> DataFrame:
-    """(block, id, text, ...) with rows dealt into ``n`` blocks by a hash of id and text."""
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).alias("block")
-    return df.select(block, F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(k) for k, c in more.items()])
+def layout(df: DataFrame, text_col: str, chars: int | None = None) -> Layout:
+    """How ``df`` is dealt; ``chars`` fixes a block's size."""
+    total = int(df.select(F.sum(F.length(text_col))).first()[0] or 0)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-total // chars)) if chars else max(1, -(-total // block_chars(total)), min(cores, -(-total // SMALL_CHARS)))
+    return Layout(total, n, min(n, MOST_PARTITIONS))
+
+
+def blocked(df: DataFrame, plan: Layout, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """(block, id, text, ...) with rows dealt into blocks by a hash of id, text and input partition."""
+    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(plan.n)).alias("block")
+    rows = df.select(block, F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(k) for k, c in more.items()])
+    return rows.repartition(plan.partitions, "block")
+
+
+def collapsed(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(the rows distinct in id and text, how often each occurs, the distinct row of every row)."""
+    table = table.combine_chunks()
+    codes = np.zeros(table.num_rows, np.int64)
+    for name in ("id", "text"):
+        col = table.column(name)
+        coded = (col.chunk(0) if col.num_chunks else pa.array([], col.type)).dictionary_encode()
+        codes = codes * (len(coded.dictionary) + 1) + np.asarray(coded.indices.fill_null(len(coded.dictionary)), np.int64)
+    _, first, of, times = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+    if len(first) == table.num_rows:
+        return table, np.ones(len(first), np.int64), np.arange(len(first))
+    order = np.argsort(first)  # as they came
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return table.take(pa.array(first[order])), times[order], back[of]
 
 
 def ask(blocks: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -33,9 +80,12 @@ def ask(blocks: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> D
     return blocks.groupBy("block").applyInArrow(fn, schema)
 
 
-def answer(asked: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """What ``fn`` makes of each bucket's messages: rows with ``block`` and ``bucket``."""
-    return asked.groupBy("bucket").applyInArrow(fn, schema)
+def answer(asked: DataFrame, plan: Layout, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``fn`` makes of each bucket's messages: rows with ``block`` and ``bucket``, back at their blocks.
+
+    The shuffles are part of the plan here, so that Spark reuses them where answers are read again.
+    """
+    return asked.repartition(plan.partitions, "bucket").groupBy("bucket").applyInArrow(fn, schema).repartition(plan.partitions, "block")
 
 
 def tell(blocks: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -1,27 +1,38 @@
 """Operator 2: language-model scoring with a weighted backoff automaton.
 
-Tokens are words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``) and one end per document. Training
-documents give exact counts of tokens and of token pairs (a start precedes the first token). The
-smoothed n-grams form an automaton: a state for the empty history (root) and one for each known
-token as history; an arc for every pair seen, weighing (c(h,w) + PRIOR * P1(w)) / (c(h) + PRIOR);
-and from each state a failure arc to the root weighing PRIOR / (c(h) + PRIOR), where every token has
-an arc of weight P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). Each history's probabilities sum to 1.
-At order 2 the state is the previous token, so no states or arcs are built or traversed: a closed form
-over all pairs at once stands in for it and gives the same scores; log10 weights add up.
+Tokens are words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``) and one end per document; a start precedes the
+first token. Training documents give exact counts c of all n-grams up to ``ORDER`` tokens. The smoothed
+n-grams form an automaton. Its states are the empty history (root) and every history of up to
+``ORDER`` - 1 tokens seen in training. A state h has
+
+* an arc for every token w seen after it, weighing (c(h w) + m * P(w | h')) / (c(h) + m), which leads to
+  the longest suffix of h w that is a state;
+* a failure arc to h' (h without its oldest token), weighing m / (c(h) + m);
+
+with m = ``PRIORS[len(h)]``. The root has an arc of weight P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)) for every
+token. Each history's probabilities sum to 1. A text is read from left to right: from the state
+carried along, failure arcs are followed until the state has an arc for the next token, and the log10
+weights of all arcs taken add up. All texts of a block are read in step, long ones in ``STRETCH`` tokens, each
+stretch starting ``ORDER`` - 1 tokens early at the root: after those, the state is that of the whole text.
 
 The automaton of a whole corpus is larger than any one machine should hold, so each block of
-documents gets exactly the arcs its texts can take: it asks for the counts of its distinct n-grams
-and builds its part of the automaton from the answers (see ``_blocks``). Nothing is pruned or
-sampled, and the counts gathered grow with the corpus.
+documents builds the states and arcs its texts can take (see ``_blocks``): it asks for the counts of its
+distinct tokens, then of its pairs, then of its triples. It does not ask for an n-gram one of whose two
+parts (all tokens but the last, all but the first) occurs in no other block: then nobody else holds
+the whole, and its own count is the total. Nothing is pruned or sampled, and the counts gathered grow
+with the corpus.
 
 Defined results: null text is the empty text (one token, the end); a null id is neither held out nor
 learned from; rows equal in id and text count as often as they occur; without training rows N and V
-are 0; an empty table gives an empty table. N-grams are told apart by 64-bit hashes: of n distinct
-ones, two share a hash with a chance of about n**2 / 2**65.
+are 0; an empty table gives an empty table; of a very long text a block holds some 150 bytes a
+token at once. N-grams are told apart by 64-bit hashes: of n distinct ones, two share a hash with a
+chance of about n**2 / 2**65, and then their counts add up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,141 +42,264 @@ from panelcast.llm import _base as B
 from panelcast.llm import _blocks as K
 from panelcast.llm import _text as T
 
-#: How many sightings the shorter history's estimate is worth.
-PRIOR = 300.0
+ORDER = 3
+#: How many sightings the shorter history's estimate is worth, by the length of the history. Chosen on
+#: training rows only, see README.
+PRIORS = (0.0, 300.0, 3.0)
 ADD = 0.1
+STRETCH = 256
 END, START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A257A257A257A2)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-class Tokens:
-    """The tokens of a block's texts, as hashes, and their n-grams."""
+class Grams:
+    """The tokens of a block's texts and their n-grams up to ``order``.
 
-    def __init__(self, table: pa.Table) -> None:
+    ``keys[n]`` are the distinct n-grams' hashes, sorted; ``of[n]`` is the n-gram that ends at each token
+    (-1 where a text has too few before it); ``first[n]`` is a token where each n-gram ends.
+    """
+
+    def __init__(self, table: pa.Table, order: int) -> None:
+        table, self.times, self.row_of = K.collapsed(table)
         texts = B.text_array(table, "text")
         data, offsets = T.buffers(texts)
-        low = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(_FOLD[data]))
+        low = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(_FOLD[data]))
         words, bounds = T.word_hashes(low, T.SPACE)
         n = len(texts)
         self.bounds = bounds + np.arange(n + 1)  # each text has an end more
-        self.tokens = np.insert(words, bounds[1:], END)
-        self.history = np.empty_like(self.tokens)
-        self.history[1:] = self.tokens[:-1]
-        self.history[self.bounds[:-1]] = START
-        self.train = np.asarray(table.column("train").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
-        with np.errstate(over="ignore"):
-            pairs = T.mix(self.history * np.uint64(0x9E3779B97F4A7C15) + T.mix(self.tokens))
-        self.uni, self.uni_of = np.unique(self.tokens, return_inverse=True)
-        self.bi, self.bi_of = np.unique(pairs, return_inverse=True)
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """How often the training texts of this block have each of its tokens and pairs."""
-        own = np.repeat(self.train, np.diff(self.bounds)).astype(np.float64)
-        return (np.bincount(of, weights=own, minlength=len(keys)).astype(np.int64) for keys, of in ((self.uni, self.uni_of), (self.bi, self.bi_of)))
+        tokens = np.insert(words, bounds[1:], END)
+        train = np.asarray(table.column("train").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
+        weight = np.repeat(np.where(train, self.times, 0), np.diff(self.bounds)).astype(np.float64)
+        self.starts = float((train * self.times).sum())  # this block's training texts
+        place = np.arange(len(tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
+        self.place, self.order = place, order
+        self.keys, self.of, self.first, self.own = [None], [None], [None], [None]
+        hashes = tokens
+        for k in range(1, order + 1):
+            if k > 1:  # the k-gram's hash: the one of its k - 1 first tokens, shifted, and the last token's
+                before = np.empty_like(hashes)
+                before[1:] = hashes[:-1]
+                before[place == 0] = START if k == 2 else 0
+                with np.errstate(over="ignore"):
+                    hashes = T.mix(before * np.uint64(0x9E3779B97F4A7C15) + T.mix(tokens))
+            there = np.flatnonzero(place >= k - 2)
+            keys, first, of = np.unique(hashes[there], return_index=True, return_inverse=True)
+            full = np.full(len(tokens), -1, np.int64)
+            full[there] = of
+            self.keys.append(keys)
+            self.of.append(full)
+            self.first.append(there[first])
+            self.own.append(np.bincount(of, weights=weight[there], minlength=len(keys)).astype(np.int64))
+
+    def prefix(self, n: int) -> np.ndarray:
+        """For each n-gram, the (n - 1)-gram of its first tokens; -1 for the start alone."""
+        at = self.first[n]
+        return np.where(self.place[at] > 0, self.of[n - 1][at - 1], -1)
+
+    def suffix(self, n: int) -> np.ndarray:
+        """For each n-gram, the (n - 1)-gram of its last tokens."""
+        return self.of[n - 1][self.first[n]]
+
+    def asked(self, n: int, shared: list[np.ndarray]) -> np.ndarray:
+        """The n-grams whose parts other blocks hold too, so that they may hold the whole."""
+        if n == 1:
+            return np.arange(len(self.keys[1]))
+        some = np.append(shared[n - 1], True)  # the start is everybody's
+        return np.flatnonzero(some[self.prefix(n)] & some[self.suffix(n)])
+
+    def told(self, replies: pa.Table | None, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Total counts of all n-grams up to ``most`` tokens, and whether other blocks hold them too."""
+        counts, shared = [None], [None]
+        level = np.array(K.cells(replies, "level")) if most else None
+        for n in range(1, most + 1):
+            mine = replies.filter(pa.array(level == n)).sort_by("bucket")
+            raw = np.concatenate([np.zeros(0, np.uint64), *(K.integers(x) for x in K.cells(mine, "counts"))]).astype(np.int64)
+            asked = self.asked(n, shared)
+            counts.append(self.own[n].copy())
+            shared.append(np.zeros(len(self.keys[n]), bool))
+            counts[n][asked], shared[n][asked] = raw >> 1, raw & 1
+        return counts, shared
 
 
 class Automaton:
-    """The part of the backoff automaton that some tokens and pairs can reach."""
-
-    def __init__(self, uni: np.ndarray, uni_counts: np.ndarray, bi_counts: np.ndarray, total: int, distinct: int, prior: float) -> None:
-        self.uni, self.known = uni, uni_counts
-        self.arc_counts, self.prior = bi_counts, prior
-        self.root = (uni_counts + ADD) / (total + ADD * (distinct + 1))  # the root's arcs
-
-    def base(self, tokens: Tokens) -> np.ndarray:
-        return np.add.reduceat(np.log10(self.root)[tokens.uni_of], tokens.bounds[:-1])
-
-    def walk(self, tokens: Tokens) -> np.ndarray:
-        """Log10 probability of each text.
-
-        After a token the state is that token's as history (the root's weights if it is unknown), so
-        the states of all steps are known at once; each step takes the pair's arc if there is
-        one, else the failure arc and the root's.
-        """
-        of = np.zeros(len(tokens.tokens), np.int64)
-        of[1:] = tokens.uni_of[:-1]
-        seen = self.known[of].astype(np.float64)
-        # every training text has a start and an end, so both have one count
-        end = np.searchsorted(self.uni, END)
-        seen[tokens.bounds[:-1]] = self.known[end]
-        weight = (self.arc_counts[tokens.bi_of] + self.prior * self.root[tokens.uni_of]) / (seen + self.prior)
-        return np.add.reduceat(np.log10(weight), tokens.bounds[:-1])
-
-
-_MESSAGE = "bucket bigint, block bigint, uni binary, uni_n binary, bi binary, bi_n binary"
-_REPLY = "block bigint, bucket bigint, uni_n binary, bi_n binary, total bigint, distinct bigint"
-
-
-def _ask(n: int, table: pa.Table) -> pa.Table:
-    t = Tokens(table)
-    uni_n, bi_n = t.counts()
-    out: dict[str, list] = {c.split()[0]: [] for c in _MESSAGE.split(", ")}
-    at_u, at_b = K.cuts(t.uni, n, 64), K.cuts(t.bi, n, 64)
-    block = table.column("block")[0].as_py()
-    for b in range(n):  # every bucket is asked: each also tells its part of the totals
-        u, p = slice(at_u[b], at_u[b + 1]), slice(at_b[b], at_b[b + 1])
-        for name, value in (("bucket", b), ("block", block), ("uni", t.uni[u].tobytes()), ("uni_n", K.varints(uni_n[u])), ("bi", t.bi[p].tobytes()), ("bi_n", K.varints(bi_n[p]))):
-            out[name].append(value)
-    return pa.table({k: pa.array(v, pa.binary() if k[0] in "u" or k.startswith("bi") else pa.int64()) for k, v in out.items()})
-
-
-def _totals(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Each message's counts replaced by the sums over all, and the sums of the distinct keys."""
-    own = [np.frombuffer(k, np.uint64) for k in keys]
-    distinct, of = np.unique(np.concatenate(own), return_inverse=True)
-    sums = np.bincount(of, weights=np.concatenate([K.integers(c) for c in counts]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
-    ends = np.cumsum([len(k) for k in own])
-    return [K.varints(sums[of[e - len(k) : e]]) for e, k in zip(ends, own)], sums
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    uni, sums = _totals(K.cells(table, "uni"), K.cells(table, "uni_n"))
-    bi, _ = _totals(K.cells(table, "bi"), K.cells(table, "bi_n"))
-    n = len(uni)
-    total, distinct = int(sums.sum()), int((sums > 0).sum())
+    """The part of the backoff automaton that some texts can reach."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, priors: tuple[float, ...]) -> None:
+        g, order = grams, grams.order
+        self.root = (counts[1] + ADD) / (total + ADD * (distinct + 1))  # the root's arcs
+        # state 0 is the root, 1 the start, then the histories seen, shortest first
+        end = np.searchsorted(g.keys[1], END)
+        starts = float(counts[1][end]) if end < len(g.keys[1]) and g.keys[1][end] == END else 0.0
+        state, seen, fail, prior = [None], [np.array([0.0, starts])], [np.zeros(2, np.int64)], [np.zeros(1), np.array([priors[1] if order > 1 else 0.0])]
+        size = 2
+        for n in range(1, order):
+            known = np.flatnonzero(counts[n] > 0)
+            if n == 1:
+                known = known[known != end]  # nothing follows an end
+            else:
+                known = known[g.suffix(n)[known] != end] if n == 2 else known[~self._ends(g, n, end)[known]]
+            number = np.full(len(g.keys[n]) + 1, -1, np.int64)
+            number[known] = size + np.arange(len(known))
+            state.append(number)
+            seen.append(counts[n][known].astype(np.float64))
+            fail.append(np.zeros(len(known), np.int64) if n == 1 else state[n - 1][g.suffix(n)[known]])
+            prior.append(np.full(len(known), priors[n]))
+            size += len(known)
+        self.seen, self.fail, prior = np.concatenate(seen), np.concatenate(fail), np.concatenate(prior)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.fail_log = np.where(self.seen + prior > 0, np.log10(prior / (self.seen + prior)), 0.0)
+        self.token_state = np.maximum(state[1][:-1], 0) if order > 1 else np.zeros(len(self.root), np.int64)
+        self.width = len(self.root) + 1
+        weight, keys, weights, nexts = self.root, [], [], []
+        for n in range(2, order + 1):
+            own = np.flatnonzero(counts[n] > 0)
+            pre, suf, last = g.prefix(n)[own], g.suffix(n)[own], g.of[1][g.first[n][own]]
+            src = np.where(pre >= 0, state[n - 1][pre], 1) if n == 2 else state[n - 1][pre]
+            m = prior[src]
+            mine = (counts[n][own] + m * weight[suf]) / (self.seen[src] + m)
+            full = np.zeros(len(g.keys[n]))
+            full[own] = mine
+            to = state[n][own] if n < order else state[n - 1][suf]
+            keys.append(src * self.width + last)
+            weights.append(np.log10(mine))
+            nexts.append(np.maximum(to, 0))  # after an end nothing is read
+            weight = full
+        order_of = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        self.arc = np.concatenate(keys)[order_of] if keys else np.zeros(0, np.int64)
+        self.arc_log = np.concatenate(weights)[order_of] if keys else np.zeros(0)
+        self.arc_next = np.concatenate(nexts)[order_of] if keys else np.zeros(0, np.int64)
+        self.root_log = np.log10(self.root)
+
+    @staticmethod
+    def _ends(g: Grams, n: int, end: int) -> np.ndarray:
+        return g.of[1][g.first[n]] == end
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight, next state) of reading ``token`` in ``state``, failure arcs followed as needed."""
+        log, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left, at = np.arange(len(state)), state.copy()
+        while len(left):
+            root = at == 0
+            done = left[root]
+            log[done] += self.root_log[token[done]]
+            to[done] = self.token_state[token[done]]
+            left, at = left[~root], at[~root]
+            if not len(left):
+                break
+            key = at * self.width + token[left]
+            place = np.minimum(np.searchsorted(self.arc, key), max(0, len(self.arc) - 1))
+            found = self.arc[place] == key if len(self.arc) else np.zeros(len(key), bool)
+            log[left[found]] += self.arc_log[place[found]]
+            to[left[found]] = self.arc_next[place[found]]
+            log[left[~found]] += self.fail_log[at[~found]]
+            left, at = left[~found], self.fail[at[~found]]
+        return log, to
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """Log10 probability of each text, read from left to right with the state carried along."""
+        tokens, early = grams.of[1], grams.order - 1
+        sizes = np.diff(grams.bounds)
+        parts = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = nth * STRETCH
+        stop = np.minimum(begin + STRETCH, sizes[text])
+        at = np.where(nth > 0, np.maximum(begin - early, 0), 0)
+        state = np.where((at > 0) | (early == 0), 0, 1)  # the start's state, or the root for a stretch that starts early
+        order = np.argsort(-(stop - at), kind="stable")  # those still being read come first
+        at, begin, stop, state, text = at[order], begin[order] + grams.bounds[text[order]], stop[order], state[order], text[order]
+        length, base = stop - at, grams.bounds[text]
+        out = np.zeros(len(text))
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t, "left"))  # lengths above t
+            place = base[:n] + at[:n] + t
+            log, state[:n] = self.step(state[:n], tokens[place])
+            out[:n] += np.where(place >= begin[:n], log, 0.0)
+        return np.bincount(text, weights=out, minlength=len(sizes))
+
+
+_MESSAGE = "bucket bigint, block bigint, keys binary, counts binary"
+_REPLY = "block bigint, bucket bigint, level int, counts binary, total bigint, distinct bigint"
+
+
+def _ask(level: int, buckets: int, table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
+    """A block's question about n-grams of ``level`` tokens: keys and own counts by bucket."""
+    out: dict[str, list] = {"bucket": [], "block": [], "keys": [], "counts": []}
+    if table.num_rows:
+        g = Grams(table, level)
+        mine = g.asked(level, g.told(replies, level - 1)[1])
+        keys, own, block = g.keys[level][mine], g.own[level][mine], table.column("block")[0].as_py()
+        at = K.cuts(keys, buckets, 64)
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            part = slice(at[b], at[b + 1])
+            for name, value in (("bucket", b), ("block", block), ("keys", keys[part].tobytes()), ("counts", K.varints(own[part]))):
+                out[name].append(value)
+    return pa.table({k: pa.array(v, pa.int64() if k[0] == "b" else pa.binary()) for k, v in out.items()})
+
+
+def _answer(level: int, table: pa.Table) -> pa.Table:
+    """For each message the sums over all blocks, doubled, and one more where several blocks asked;
+    and the bucket's tokens and distinct ones."""
+    own = [np.frombuffer(k, np.uint64) for k in K.cells(table, "keys")]
+    distinct, of, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    sums = np.bincount(of, weights=np.concatenate([K.integers(c) for c in K.cells(table, "counts")]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
+    coded = 2 * sums + (times > 1)  # a block asks for a key once
+    ends, n = np.cumsum([len(k) for k in own]), len(own)
     return pa.table(
         {
             "block": table.column("block"),
             "bucket": table.column("bucket"),
-            "uni_n": pa.array(uni, pa.binary()),
-            "bi_n": pa.array(bi, pa.binary()),
-            "total": pa.array([total] * n, pa.int64()),
-            "distinct": pa.array([distinct] * n, pa.int64()),
+            "level": pa.array([level] * n, pa.int32()),
+            "counts": pa.array([K.varints(coded[of[e - len(k) : e]]) for e, k in zip(ends.tolist(), own)], pa.binary()),
+            "total": pa.array([int(sums.sum())] * n, pa.int64()),
+            "distinct": pa.array([int((sums > 0).sum())] * n, pa.int64()),
         }
     )
 
 
-def _score(prior: float, schema: pa.Schema, table: pa.Table, replies: pa.Table) -> pa.Table:
+def _at(level: int, buckets: int) -> tuple[Callable[[pa.Table, pa.Table], pa.Table], Callable[[pa.Table], pa.Table]]:
+    """Question and answer of one level."""
+    return lambda t, r: _ask(level, buckets, t, r), lambda t: _answer(level, t)
+
+
+def _score(order: int, priors: tuple[float, ...], schema: pa.Schema, table: pa.Table, replies: pa.Table) -> pa.Table:
     if not table.num_rows:
         return schema.empty_table()
-    replies = replies.sort_by("bucket")
-    t = Tokens(table)
-    uni, bi = (np.concatenate([K.integers(x) for x in K.cells(replies, c)]).astype(np.int64) for c in ("uni_n", "bi_n"))
-    total, distinct = (int(sum(K.cells(replies, c))) for c in ("total", "distinct"))
-    auto = Automaton(t.uni, uni, bi, total, distinct, prior)
-    n = table.num_rows
-    known = np.add.reduceat((uni > 0)[t.uni_of].astype(np.int64), t.bounds[:-1])
-    return pa.table(
-        [table.column("id"), table.column("held_out"), pa.array(np.diff(t.bounds)), pa.array(known), pa.array([total] * n, pa.int64()), pa.array(auto.base(t)), pa.array(auto.walk(t))],
-        schema=schema,
-    )
+    g = Grams(table, order)
+    counts, _ = g.told(replies, order)
+    total, distinct = (K.cells(replies, c)[0] for c in ("total", "distinct"))
+    auto = Automaton(g, counts, total, distinct, priors)
+    add = lambda x: np.add.reduceat(x[g.of[1]], g.bounds[:-1])
+    found = [np.diff(g.bounds), add((counts[1] > 0).astype(np.int64)), np.full(len(g.bounds) - 1, total), add(auto.root_log), auto.walk(g)]
+    return pa.table([table.column("id"), table.column("held_out"), *(pa.array(x[g.row_of]) for x in found)], schema=schema)
 
 
-def score(df: DataFrame, held_out: Column, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text", block_chars: int = K.BLOCK_CHARS) -> DataFrame:
+def score(
+    df: DataFrame, held_out: Column, order: int = ORDER, priors: tuple[float, ...] = PRIORS, id_col: str = "doc_id", text_col: str = "text", block_chars: int | None = None
+) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model learns from the rows where ``held_out`` is false; where it is null, the row is
-    neither learned from nor held out.
+    neither learned from nor held out. ``priors[k]`` belongs to histories of k tokens.
     """
-    total = int(df.select(F.sum(F.length(text_col))).first()[0] or 0)
-    n = max(1, -(-total // block_chars))
-    docs = K.blocked(df, n, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False)), train=F.coalesce(~held_out, F.lit(False)))
+    plan = K.layout(df, text_col, block_chars)
+    docs = K.blocked(df, plan, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False)), train=F.coalesce(~held_out, F.lit(False)))
     kind = df.schema[id_col].dataType.simpleString()
     arrow_id = docs.limit(0).select("id").toArrow().schema.field(0).type
     names = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     schema = pa.schema([("id", arrow_id), ("held_out", pa.bool_()), *names])
-    answers = K.answer(K.ask(docs, lambda t: _ask(n, t), _MESSAGE), _answer, _REPLY)
-    out = K.tell(docs, answers, lambda t, r: _score(prior, schema, t, r), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    first = K.answer(K.ask(docs, lambda t: _ask(1, plan.n, t), _MESSAGE), plan, lambda t: _answer(1, t), _REPLY)
+    # each bucket's part of the totals once, then one sum for all
+    once = first.groupBy("bucket").agg(F.max("total").alias("total"), F.max("distinct").alias("distinct"))
+    whole = [once.agg(F.sum(c)).scalar().alias(c) for c in ("total", "distinct")]
+    replies = first.select("block", "bucket", "level", "counts")
+    for level in range(2, order + 1):
+        question, reply = _at(level, plan.n)
+        told = K.answer(K.tell(docs, replies, question, _MESSAGE), plan, reply, _REPLY)
+        replies = replies.unionAll(told.select("block", "bucket", "level", "counts"))
+    replies = replies.select("*", *whole)
+    fields = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    out = K.tell(docs, replies, lambda t, r: _score(order, priors, schema, t, r), f"id {kind}, {fields}")
     return out.withColumnRenamed("id", id_col)

@@ -12,8 +12,9 @@ A window that does not repeat is taken for one that does if both its cells and i
 shared: with 2**-64 for a hash, about one in 10**14 windows at a billion windows.
 
 Defined results: null text has no words; texts of fewer words than a window lose nothing; rows equal
-in id and text repeat each other's windows; an empty table gives an empty table. Texts are read
-whole and only the id and text columns are read.
+in id and text repeat each other's windows (a block keeps two of them and answers for all); an empty
+table gives an empty table; of a very long text a block holds some 60 bytes a word at once. Texts are
+read whole and only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Plan:
 
     def windows(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window hashes, first words, bounds of the texts' words)."""
-        words, bounds = T.word_hashes(B.text_array(table, "text"), T.SPACE)
+        words, bounds = T.word_hashes(large_texts(table), T.SPACE)
         hashes, places = T.window_hashes(words, bounds, self.window, 35)
         return hashes, places, bounds
 
@@ -64,6 +65,20 @@ class Plan:
         return self.key(hashes[keep]), places[keep], bounds
 
 
+def large_texts(table: pa.Table) -> pa.Array:
+    """The texts of a block as one array, whatever they measure."""
+    return B.text_array(table.set_column(table.column_names.index("text"), "text", table.column("text").cast(pa.large_string())), "text")
+
+
+def twice_at_most(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """(rows, each original row's row): of rows equal in id and text two stay, as a count above one is one."""
+    distinct, times, of = K.collapsed(table)
+    if (times == 1).all():
+        return distinct, of
+    more = np.flatnonzero(times > 1)
+    return pa.concat_tables([distinct, distinct.take(pa.array(more))]).combine_chunks(), of
+
+
 _MESSAGE = "bucket bigint, block bigint, kind int, body binary"
 _REPLY = "block bigint, bucket bigint, kind int, body binary"
 
@@ -79,7 +94,7 @@ def _block(table: pa.Table) -> int:
 
 def _sketch(plan: Plan, table: pa.Table) -> pa.Table:
     """A block's sketch: per row and bucket its cells in order, twice if counted more than once."""
-    hashes, _, _ = plan.windows(table)
+    hashes, _, _ = plan.windows(twice_at_most(table)[0])
     out = {"bucket": [], "block": [], "kind": [], "body": []}
     for r, cell in enumerate(plan.rows(hashes)):
         distinct, times = np.unique(cell, return_counts=True)
@@ -123,7 +138,7 @@ def _candidates(plan: Plan, table: pa.Table, replies: pa.Table) -> pa.Table:
     """The keys of a block's suspected windows, twice if they occur more than once in it."""
     if not table.num_rows:
         return _table({"bucket": [], "block": [], "kind": [], "body": []}, _MESSAGE)
-    keys, _, _ = plan.suspected(table, replies)
+    keys, _, _ = plan.suspected(twice_at_most(table)[0], replies)
     distinct, times = np.unique(keys, return_counts=True)
     at = K.cuts(distinct, plan.n, 64)
     out = {"bucket": [], "block": [], "kind": [], "body": []}
@@ -160,6 +175,7 @@ def _remove(plan: Plan, schema: pa.Schema, table: pa.Table, replies: pa.Table) -
     """Cover the words of repeated windows and keep the others."""
     if not table.num_rows:
         return schema.empty_table()
+    table, row_of = twice_at_most(table)
     kind = np.array(K.cells(replies, "kind"))
     keys, places, bounds = plan.suspected(table, replies.filter(pa.array(kind < 2)))
     distinct, inverse = np.unique(keys, return_inverse=True)
@@ -176,26 +192,27 @@ def _remove(plan: Plan, schema: pa.Schema, table: pa.Table, replies: pa.Table) -
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[bounds[1:]] - total[bounds[:-1]]
     kept = []
-    data, offsets = T.buffers(B.text_array(table, "text"))
+    data, offsets = T.buffers(large_texts(table))
     for i, n in enumerate(removed.tolist()):
         words = data[offsets[i] : offsets[i + 1]].tobytes().split()
         if n:
             stay = ~gone[bounds[i] : bounds[i + 1]]
             words = [w for w, s in zip(words, stay.tolist()) if s]
         kept.append(b" ".join(words).decode())
-    return pa.table([table.column("id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+    done = pa.table([table.column("id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+    return done if len(row_of) == done.num_rows else done.take(pa.array(row_of))
 
 
-def dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_chars: int = K.BLOCK_CHARS) -> DataFrame:
+def dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_chars: int | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept): every row's text without repeated windows, words joined by one space."""
-    total = int(df.select(F.sum(F.length(text_col))).first()[0] or 0)
-    plan = Plan(window, max(1, -(-total // block_chars)), min(48, max(16, total.bit_length() + 1)))
-    docs = K.blocked(df, plan.n, id_col, text_col)
+    dealt = K.layout(df, text_col, block_chars)
+    plan = Plan(window, dealt.n, min(48, max(16, dealt.chars.bit_length() + 1)))
+    docs = K.blocked(df, dealt, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
     arrow_id = docs.limit(0).select("id").toArrow().schema.field(0).type
     schema = pa.schema([("id", arrow_id), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    cells = K.answer(K.ask(docs, lambda t: _sketch(plan, t), _MESSAGE), lambda t: _merge(plan, t), _REPLY)
-    keys = K.answer(K.tell(docs, cells, lambda t, r: _candidates(plan, t, r), _MESSAGE), lambda t: _group(plan, t), _REPLY)
+    cells = K.answer(K.ask(docs, lambda t: _sketch(plan, t), _MESSAGE), dealt, lambda t: _merge(plan, t), _REPLY)
+    keys = K.answer(K.tell(docs, cells, lambda t, r: _candidates(plan, t, r), _MESSAGE), dealt, lambda t: _group(plan, t), _REPLY)
     out = K.tell(docs, cells.unionAll(keys), lambda t, r: _remove(plan, schema, t, r), f"id {kind}, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("id", id_col)
 

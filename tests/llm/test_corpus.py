@@ -8,9 +8,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.llm import _blocks as K
 from panelcast.llm import decontaminate, near_dup, ngram_lm, substring_dedup, topk
 from panelcast.llm.components import connected_components
 
@@ -43,25 +45,83 @@ def rows_by_id(df, *columns):
 # --- 2 -----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("chars", [10**9, 300])
-def test_scores_by_brute_force(docs, chars):
-    texts = corpus(1)
-    frame = docs([*enumerate(texts), (None, "null id")])
-    held = F.col("doc_id") % 4 == 0
-    got = {r.doc_id: r for r in ngram_lm.score(frame, held, prior=20.0, block_chars=chars).collect()}
+def brute_scores(texts, train, order, priors):
+    """(n_tokens, n_known, train_tokens, base_score, score) by the recursive definition."""
     tokens = [[*re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for t in texts]
-    train = [t for i, t in enumerate(tokens) if i % 4]
-    uni = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip(["<s>", *t], t))
-    history = dict(uni) | {"<s>": len(train)}
-    total, p1 = sum(uni.values()), lambda w: (uni[w] + 0.1) / (sum(uni.values()) + 0.1 * (len(uni) + 1))
-    for i, t in enumerate(tokens):
+    counts = Counter(tuple(p[i : i + n]) for t, y in zip(tokens, train) if y for p in [["<s>", *t]] for n in range(1, order + 1) for i in range(len(p) - n + 1))
+    n_all, distinct = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in counts)
+
+    def p(history, w):
+        if not history:
+            return (counts[(w,)] + 0.1) / (n_all + 0.1 * (distinct + 1))
+        m = priors[len(history)]
+        return (counts[(*history, w)] + m * p(history[1:], w)) / (counts[history] + m)
+
+    out = []
+    for t in tokens:
+        padded = ["<s>", *t]
+        score = sum(math.log10(p(tuple(padded[max(0, i - order + 1) : i]), padded[i])) for i in range(1, len(padded)))
+        out.append((len(t), sum(counts[(w,)] > 0 for w in t), n_all, sum(math.log10(p((), w)) for w in t), score))
+    return out
+
+
+@pytest.mark.parametrize("order, chars", [(1, 3000), (2, 3000), (3, 10**9), (3, 3000), (4, 3000)])
+def test_scores_by_brute_force(docs, monkeypatch, order, chars):
+    monkeypatch.setattr(ngram_lm, "STRETCH", 16)  # texts are read in several stretches
+    texts = [*corpus(1), " ".join(f"w{i % 40}" for i in range(3000))]  # one is long
+    priors = (0.0, 20.0, 3.0, 1.5)
+    frame = docs([*enumerate(texts), (None, "null id"), (7, texts[7]), (7, texts[7]), (8, texts[8])])
+    held = F.col("doc_id") % 4 == 0
+    got = {r.doc_id: r for r in ngram_lm.score(frame, held, order=order, priors=priors, block_chars=chars).collect()}
+    many = [*texts, "null id", texts[7], texts[7], texts[8]]
+    want = brute_scores(many, [*(i % 4 > 0 for i in range(len(texts))), False, True, True, False], order, priors)
+    for i, w in zip([*range(len(texts)), None], want):
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i % 4 == 0, len(t), sum(uni[w] > 0 for w in t), total)
-        assert r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in t))
-        want = sum(math.log10((pairs[h, w] + 20 * p1(w)) / (history.get(h, 0) + 20)) for h, w in zip(["<s>", *t], t))
-        assert r.score == pytest.approx(want)
-    assert got[None].held_out is False
+        assert r.held_out == (i is not None and i % 4 == 0) and (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+        assert r.base_score == pytest.approx(w[3]) and r.score == pytest.approx(w[4])
+
+
+def test_longer_histories_score_held_out_texts_better(docs):
+    rng = random.Random(21)
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(8)) for _ in range(60)]  # lines recur, pairs do not tell them
+    frame = docs([" ".join(rng.choice(lines) for _ in range(12)) for _ in range(200)])
+    score = lambda n: ngram_lm.score(frame, F.col("doc_id") % 10 == 0, order=n).filter("held_out").agg(F.sum("score")).first()[0]
+    assert score(1) < score(2) < score(3)
+
+
+def test_states_of_any_reading_are_the_same():
+    """Reading a text in stretches that start early at the root carries the state of the whole text."""
+    texts = [t or "" for t in corpus(13)]
+    table = pa.table({"block": [0] * len(texts), "id": range(len(texts)), "text": texts, "train": [i % 3 > 0 for i in range(len(texts))]})
+    grams = ngram_lm.Grams(table, 3)
+    auto = ngram_lm.Automaton(grams, grams.own, int(grams.own[1].sum()), int((grams.own[1] > 0).sum()), (0.0, 20.0, 3.0))
+    tokens = grams.of[1]
+    for a, b, whole in zip(grams.bounds[:-1].tolist(), grams.bounds[1:].tolist(), auto.walk(grams)):
+        state, total = np.array([1]), 0.0
+        for w in tokens[a:b]:
+            log, state = auto.step(state, np.array([w]))
+            total += log[0]
+        assert total == pytest.approx(whole)
+    assert (auto.fail[1:] < np.arange(1, len(auto.fail))).all()  # failure arcs lead to shorter histories
+
+
+def test_hot_rows_do_not_fill_a_block(spark, docs):
+    """Rows equal in id and text are dealt by input partition and collapsed in their block."""
+    frame = docs([(7, "a b c d")] * 4000 + [(i, f"x{i} y{i} z{i} u{i}") for i in range(8, 8008)]).repartition(8)
+    plan = K.layout(frame, "text", 20_000)
+    sizes = [r["count"] for r in K.blocked(frame, plan, "doc_id", "text").groupBy("block").count().collect()]
+    assert plan.n > 8 and max(sizes) < 4000
+    rows = ngram_lm.score(frame, F.lit(False), block_chars=20_000)
+    assert rows.count() == 12_000 and rows.filter("doc_id = 7").select("score").distinct().count() == 1
+    table = pa.table({"block": [0] * 5, "id": [1, 1, None, 1, 2], "text": ["a", "b", None, "a", "a"]})
+    distinct, times, of = K.collapsed(table)
+    assert distinct.select(["id", "text"]).to_pylist() == [{"id": 1, "text": "a"}, {"id": 1, "text": "b"}, {"id": None, "text": None}, {"id": 2, "text": "a"}]
+    assert times.tolist() == [2, 1, 1, 1] and of.tolist() == [0, 1, 2, 0, 3]
+
+
+def test_blocks_grow_with_the_corpus():
+    assert K.block_chars(10**9) == K.block_chars(10**12) == 8_000_000
+    assert K.block_chars(4 * 10**12) == 16_000_000 and K.block_chars(10**16) == 64_000_000
 
 
 def test_probabilities_sum_to_one(docs):
@@ -140,6 +200,12 @@ def test_dedup_edge_cases(docs):
     same = " ".join(f"w{i}" for i in range(40))
     got = rows_by_id(substring_dedup.dedup(docs([(1, same), (1, same), (None, None)])), "n_removed", "kept")
     assert got == [(1, 40, ""), (1, 40, ""), (None, 0, "")]
+    many = docs([(1, same)] * 50 + [(2, same + " z"), (3, "y " + " ".join(f"v{i}" for i in range(60)))])
+    got = rows_by_id(substring_dedup.dedup(many, block_chars=500), "n_removed", "kept")
+    assert got == [(1, 40, "")] * 50 + [(2, 40, "z"), (3, 0, "y " + " ".join(f"v{i}" for i in range(60)))]
+    long = " ".join(f"l{i}" for i in range(200_000))
+    got = rows_by_id(substring_dedup.dedup(docs([long, f"a {long} b"]), block_chars=500_000), "n_removed", "kept")
+    assert got == [(0, 200_000, ""), (1, 200_000, "a b")]
     assert substring_dedup.dedup(docs(["x"]).filter("false")).count() == 0
     row = substring_dedup.report(substring_dedup.dedup(docs(["a  b"]))).first()
     assert row.kept_sha256 == hashlib.sha256(b"a b").hexdigest()
