@@ -45,7 +45,7 @@ from panelcast.llm.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP = 32, 4, 16
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 #: Largest bucket that is compared before it joins a group.
 SIDE = 512
 #: A block's classes and characters at most (on average, as hashing deals them); from LEAST classes a
