@@ -145,33 +145,51 @@ def test_scores_without_training(docs):
 
 
 def brute_topk(rows, k, scale):
-    q = {i: [int(x) for x in np.floor(scale * np.array(v, float))] for i, v in rows}
+    q = [(i, [int(x) for x in np.floor(scale * np.array(v, float))]) for i, v in rows]
     out = []
-    for i in q:
+    for a, (i, v) in enumerate(q):
         if i % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i))[:k]
+            best = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(q) if a != b and len(v) == len(w))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("spread", [1.0, 0.01, 1e5])
-def test_topk_by_brute_force(spark, spread, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 3)  # several blocks of queries
+def test_topk_by_brute_force(spark, docs, spread, monkeypatch):
+    for name, value in (("BLOCK", 3), ("ROWS", 50), ("SLOTS", 2)):
+        monkeypatch.setattr(topk, name, value)  # many blocks
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=6) * spread).tolist()) for i in range(400)]
     rows += [(400 + i, rows[7][1]) for i in range(60)]  # many equal scores
+    rows += [(0, [1.0] * 6), (0, [9.0] * 6), (50, rows[50][1]), (50, rows[50][1]), (7, rows[7][1])]  # repeated ids and rows
+    rows += [(1100, [1.0, 2.0]), (1101, [2.0, 2.0]), (1150, [3.0])]  # other lengths
     bad = [(900, None), (950, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1000, [float("nan")] * 6), (1001, [float("inf")] * 6), (None, [1.0] * 6)]
-    df = spark.createDataFrame([*rows, *bad], "vec_id bigint, embedding array<double>").selectExpr("*", "1 as score", "2 as id").repartition(5)
+    df = spark.createDataFrame([*rows, *bad], "vec_id bigint, embedding array<double>").selectExpr("*", "1 as score", "2 as id", "3 as dim").repartition(5)
     got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0).collect()))
     assert got == brute_topk(rows, 5, 256)
 
 
-def test_topk_with_few_or_no_candidates(spark):
+def test_topk_agrees_with_its_sql_on_repeated_ids(spark, docs, tmp_path):
+    import duckdb
+
+    from panelcast.llm.queries import ORACLES, op3_topk_histogram
+
+    rows = [(0, [0.1, 0.5]), (0, [0.9, 0.2]), (0, [0.9, 0.2]), (1, [0.2, 0.3]), (2, [0.3, 0.1]), (50, [0.4, 0.4]), (50, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, op3_topk_histogram(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["op3_topk_histogram"]).fetchall()) == brute_topk([(i, np.array(v, np.float32).tolist()) for i, v in rows if v], 5, 256)
+    assert len(got) == 20  # each of the three rows of id 0 and the one of id 50 is answered
+
+
+def test_topk_with_few_or_no_candidates(spark, docs):
     schema = "vec_id bigint, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (1, [-2.0]), (2, [3.0])], schema)
     assert sorted(map(tuple, topk.search(few, F.col("vec_id") == 0, scale=1).collect())) == [(0, 1, 2, 3), (0, 2, 1, -2)]
     assert topk.search(few.filter("false"), F.lit(True)).count() == 0
     assert topk.search(few.filter("vec_id = 0"), F.lit(True)).count() == 0
+    assert topk.search(few, F.lit(False)).count() == 0
     assert topk.search(few.selectExpr("vec_id", "array() as embedding").withColumn("embedding", F.col("embedding").cast("array<float>")), F.col("vec_id") == 0, k=1).count() == 1
 
 
