@@ -235,11 +235,13 @@ def blocks_of(classes: Column, chars: Column) -> Column:
 def block_pairs(members: DataFrame, by: str) -> DataFrame:
     """Rows of groups ``by``, each split into ``blocks`` blocks (equal over a group) and their pairs.
 
-    Adds ``own`` (a row's block), ``lo`` and ``hi``; a group of one block has lo = hi = 0.
+    Adds ``own`` (a row's block), ``lo`` and ``hi``; a group of one block has lo = hi = 0. ``pair`` numbers the
+    pairs of a group.
     """
     rows = members.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    return rows.withColumn("pair", (F.col("hi").cast("long") * (F.col("hi") + 1) / 2 + F.col("lo")).cast("long"))
 
 
 def partitions(df: DataFrame, rows: int) -> int:
@@ -345,7 +347,10 @@ def verified(members: DataFrame, rows: int, threshold: float, words: int) -> Dat
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(links[some]), pa.array(keys[label[some]])], ["key", "links", "root"])
 
-    spread = members.repartition(partitions(members, rows), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "key")
+    # a group's pairs of blocks go to partitions in turn, so none gets several before all have one
+    n = partitions(members, rows)
+    slot = F.pmod(F.pmod(F.xxhash64("component"), F.lit(n)) + F.col("pair"), F.lit(n)).cast("int")
+    spread = members.repartitionById(n, slot).sortWithinPartitions("component", "lo", "hi", "key")
     return spread.mapInArrow(run, "key bigint, links bigint, root bigint")
 
 
