@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +30,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; it is set here only where the session has none (tests)."""
+    """The folder all executors share. It is set here only where the session has none and all its executors
+    are in this process (tests); on a cluster its absence is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = os.path.join(tempfile.gettempdir(), "panelcast-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; the folder goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place, files = _hadoop(spark, path)
+    files.mkdirs(place)  # only what exists is remembered for deletion
+    files.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place, files = _hadoop(spark, path)
+    files.delete(place, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
     shared_dir(df.sparkSession)

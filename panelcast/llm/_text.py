@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 U = np.uint64
 
@@ -33,7 +34,8 @@ def _steady_memory() -> None:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
 
 
-_steady_memory()
+if TaskContext.get() is not None:  # in workers only: the driver's process is its user's
+    _steady_memory()
 PIECE = 1 << 20
 
 SPACE, ALNUM = "space", "alnum"

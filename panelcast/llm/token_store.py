@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +37,8 @@ HEAD = struct.Struct("<4sBBHQQ")
 SAMPLE = 64
 #: Ids in a block; chunks a worker remembers.
 BLOCK_IDS, MEMO = 1 << 20, 2_000_000
+#: Characters of a range partition at most, on average.
+PART_CHARS = 128_000_000
 _MARKS = tuple(",.;:!?")
 
 
@@ -201,7 +202,8 @@ def write(df: DataFrame, path: str, target: str, end_id: int = 0, id_col: str =
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64()), ("ids", pa.list_(arrow_id)), ("payload", pa.binary())])
     if kind.simpleString() not in ("string", "bigint"):
         narrow = narrow.withColumn("id", F.col("id").cast("bigint"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = df.select(F.sum(F.length(text_col))).first()[0] or 0
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     ranged = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
     name = "string" if arrow_id == pa.string() else "bigint"
@@ -249,6 +251,6 @@ def read_documents(spark, target: str) -> DataFrame:
 def roundtrip(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write a token file to the shared folder and report each document as read back."""
     spark = df.sparkSession
-    target = f"{B.shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    target = f"{B.scratch_dir(spark, 'tokens')}/blocks"
     write(df, path, target, end_id, id_col, text_col)
     return read_documents(spark, target).withColumnRenamed("id", id_col)
