@@ -2,13 +2,12 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each result as Parquet to
 the shared folder and reads it again for the next stage, so a lost executor costs one stage at
-most. All but the last return the columns of ``documents``.
+most; a stage's folder goes once the next one is written, the last one's when the application ends.
+All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,8 @@ from panelcast.llm import bpe_trie, decontaminate, language_id, near_dup, querie
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents in no language (null, or without a letter) go."""
+    """Operator 6: documents go whose text is in none of the learned languages: null, without a letter, or
+    of n-grams of which the predicted language knows less than a quarter."""
     B.ship(spark)
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     return language_id.drop_rejected(docs, language_id.fit(docs, remainder != 2))
@@ -61,8 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over ``documents``."""
     docs = B.read(spark, sf_dir, "documents")
-    place = f"{B.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place, before = B.scratch_dir(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            B.remove(spark, before)
+        before = f"{place}/{name}"
     return docs
