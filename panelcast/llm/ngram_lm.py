@@ -72,26 +72,46 @@ class Grams:
         tokens = np.insert(words, bounds[1:], END)
         train = np.asarray(table.column("train").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
         weight = np.repeat(np.where(train, self.times, 0), np.diff(self.bounds)).astype(np.float64)
-        self.starts = float((train * self.times).sum())  # this block's training texts
-        place = np.arange(len(tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        self.place, self.order = place, order
+        self.place = (np.arange(len(tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))).astype(np.int32)
+        self.tokens, self.weight, self.order = tokens, weight, order
         self.keys, self.of, self.first, self.own = [None], [None], [None], [None]
-        hashes = tokens
+        self.hashes = tokens
         for k in range(1, order + 1):
-            if k > 1:  # the k-gram's hash: the one of its k - 1 first tokens, shifted, and the last token's
-                before = np.empty_like(hashes)
-                before[1:] = hashes[:-1]
-                before[place == 0] = START if k == 2 else 0
-                with np.errstate(over="ignore"):
-                    hashes = T.mix(before * np.uint64(0x9E3779B97F4A7C15) + T.mix(tokens))
-            there = np.flatnonzero(place >= k - 2)
-            keys, first, of = np.unique(hashes[there], return_index=True, return_inverse=True)
-            full = np.full(len(tokens), -1, np.int64)
-            full[there] = of
-            self.keys.append(keys)
-            self.of.append(full)
-            self.first.append(there[first])
+            if k > 1:
+                self.hashes = self._longer(self.hashes, k)
+            there = np.flatnonzero(self.place >= k - 2).astype(np.int32) if k > 2 else slice(None)
+            keys, first, of = np.unique(self.hashes[there], return_index=True, return_inverse=True)
             self.own.append(np.bincount(of, weights=weight[there], minlength=len(keys)).astype(np.int64))
+            self.keys.append(keys)
+            if k > 2:
+                full = np.full(len(tokens), -1, np.int32)
+                full[there] = of
+                self.of.append(full)
+                self.first.append(there[first])
+            else:
+                self.of.append(of.astype(np.int32))
+                self.first.append(first.astype(np.int32))
+
+    def _longer(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the k-grams: that of the k - 1 tokens one place before, and the last token's."""
+        before = np.empty_like(hashes)
+        before[1:] = hashes[:-1]
+        before[self.place == 0] = START if k == 2 else 0
+        with np.errstate(over="ignore"):
+            return T.mix(before * np.uint64(0x9E3779B97F4A7C15) + T.mix(self.tokens))
+
+    def longer_asked(self, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and own counts of the n-grams of ``order`` + 1 tokens that ``asked`` names, and of no others."""
+        n = self.order + 1
+        some = np.append(shared[n - 1], False)[self.of[n - 1]]
+        fine = some & (self.place >= n - 2)
+        if n > 2:
+            fine[1:] &= some[:-1]
+        else:
+            fine[1:] &= some[:-1] | (self.place[1:] == 0)
+        where = np.flatnonzero(fine)
+        keys, of = np.unique(self._longer(self.hashes, n)[where], return_inverse=True)
+        return keys, np.bincount(of, weights=self.weight[where], minlength=len(keys)).astype(np.int64)
 
     def prefix(self, n: int) -> np.ndarray:
         """For each n-gram, the (n - 1)-gram of its first tokens; -1 for the start alone."""
@@ -166,11 +186,12 @@ class Automaton:
             weights.append(np.log10(mine))
             nexts.append(np.maximum(to, 0))  # after an end nothing is read
             weight = full
-        order_of = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        self.arc = np.concatenate(keys)[order_of] if keys else np.zeros(0, np.int64)
-        self.arc_log = np.concatenate(weights)[order_of] if keys else np.zeros(0)
-        self.arc_next = np.concatenate(nexts)[order_of] if keys else np.zeros(0, np.int64)
-        self.root_log = np.log10(self.root)
+        # the arcs of a state lie side by side, in order of their tokens
+        arc, log, to = (np.concatenate(x) if x else np.zeros(0) for x in (keys, weights, nexts))
+        by_state = np.argsort(arc)
+        self.arc, self.arc_log, self.arc_next = arc[by_state].astype(np.int64), log[by_state], to[by_state].astype(np.int32)
+        self.begin = np.searchsorted(self.arc, np.arange(size + 1) * self.width).astype(np.int32)
+        self.fail, self.token_state, self.root_log = self.fail.astype(np.int32), self.token_state.astype(np.int32), np.log10(self.root)
 
     @staticmethod
     def _ends(g: Grams, n: int, end: int) -> np.ndarray:
@@ -178,8 +199,8 @@ class Automaton:
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 weight, next state) of reading ``token`` in ``state``, failure arcs followed as needed."""
-        log, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        left, at = np.arange(len(state)), state.copy()
+        log, to = np.zeros(len(state)), np.zeros(len(state), np.int32)
+        left, at = np.arange(len(state)), state
         while len(left):
             root = at == 0
             done = left[root]
@@ -188,9 +209,14 @@ class Automaton:
             left, at = left[~root], at[~root]
             if not len(left):
                 break
-            key = at * self.width + token[left]
-            place = np.minimum(np.searchsorted(self.arc, key), max(0, len(self.arc) - 1))
-            found = self.arc[place] == key if len(self.arc) else np.zeros(len(key), bool)
+            place, end = self.begin[at], self.begin[at + 1]
+            key = at * np.int64(self.width) + token[left]
+            found = end > place
+            found[found] = self.arc[place[found]] == key[found]  # most states have one arc
+            more = np.flatnonzero(~found & (end - place > 1))
+            if len(more):
+                place[more] = np.minimum(np.searchsorted(self.arc, key[more]), len(self.arc) - 1)
+                found[more] = self.arc[place[more]] == key[more]
             log[left[found]] += self.arc_log[place[found]]
             to[left[found]] = self.arc_next[place[found]]
             log[left[~found]] += self.fail_log[at[~found]]
@@ -207,7 +233,7 @@ class Automaton:
         begin = nth * STRETCH
         stop = np.minimum(begin + STRETCH, sizes[text])
         at = np.where(nth > 0, np.maximum(begin - early, 0), 0)
-        state = np.where((at > 0) | (early == 0), 0, 1)  # the start's state, or the root for a stretch that starts early
+        state = np.where((at > 0) | (early == 0), 0, 1).astype(np.int32)  # the start's state, or the root for a stretch that starts early
         order = np.argsort(-(stop - at), kind="stable")  # those still being read come first
         at, begin, stop, state, text = at[order], begin[order] + grams.bounds[text[order]], stop[order], state[order], text[order]
         length, base = stop - at, grams.bounds[text]
@@ -220,31 +246,31 @@ class Automaton:
         return np.bincount(text, weights=out, minlength=len(sizes))
 
 
-_MESSAGE = "bucket bigint, block bigint, keys binary, counts binary"
+_MESSAGE = "bucket bigint, block bigint, body binary"
 _REPLY = "block bigint, bucket bigint, level int, counts binary, total bigint, distinct bigint"
 
 
 def _ask(level: int, buckets: int, table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
     """A block's question about n-grams of ``level`` tokens: keys and own counts by bucket."""
-    out: dict[str, list] = {"bucket": [], "block": [], "keys": [], "counts": []}
+    out: dict[str, list] = {"bucket": [], "block": [], "body": []}
     if table.num_rows:
-        g = Grams(table, level)
-        mine = g.asked(level, g.told(replies, level - 1)[1])
-        keys, own, block = g.keys[level][mine], g.own[level][mine], table.column("block")[0].as_py()
+        g, block = Grams(table, max(1, level - 1)), table.column("block")[0].as_py()
+        keys, own = (g.keys[1], g.own[1]) if level == 1 else g.longer_asked(g.told(replies, level - 1)[1])
         at = K.cuts(keys, buckets, 64)
         for b in np.flatnonzero(np.diff(at)).tolist():
             part = slice(at[b], at[b + 1])
-            for name, value in (("bucket", b), ("block", block), ("keys", keys[part].tobytes()), ("counts", K.varints(own[part]))):
+            for name, value in (("bucket", b), ("block", block), ("body", K.counted_keys(keys[part], own[part]))):
                 out[name].append(value)
-    return pa.table({k: pa.array(v, pa.int64() if k[0] == "b" else pa.binary()) for k, v in out.items()})
+    return pa.table({k: pa.array(v, pa.binary() if k == "body" else pa.int64()) for k, v in out.items()})
 
 
 def _answer(level: int, table: pa.Table) -> pa.Table:
     """For each message the sums over all blocks, doubled, and one more where several blocks asked;
     and the bucket's tokens and distinct ones."""
-    own = [np.frombuffer(k, np.uint64) for k in K.cells(table, "keys")]
+    sent = [K.keys_counted(x) for x in K.cells(table, "body")]
+    own = [k for k, _ in sent]
     distinct, of, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    sums = np.bincount(of, weights=np.concatenate([K.integers(c) for c in K.cells(table, "counts")]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
+    sums = np.bincount(of, weights=np.concatenate([c for _, c in sent]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
     coded = 2 * sums + (times > 1)  # a block asks for a key once
     ends, n = np.cumsum([len(k) for k in own]), len(own)
     return pa.table(

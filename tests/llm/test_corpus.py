@@ -97,7 +97,7 @@ def test_states_of_any_reading_are_the_same():
     auto = ngram_lm.Automaton(grams, grams.own, int(grams.own[1].sum()), int((grams.own[1] > 0).sum()), (0.0, 20.0, 3.0))
     tokens = grams.of[1]
     for a, b, whole in zip(grams.bounds[:-1].tolist(), grams.bounds[1:].tolist(), auto.walk(grams)):
-        state, total = np.array([1]), 0.0
+        state, total = np.array([1], np.int32), 0.0
         for w in tokens[a:b]:
             log, state = auto.step(state, np.array([w]))
             total += log[0]

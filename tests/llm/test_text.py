@@ -61,3 +61,17 @@ def test_buckets_are_ranges():
     assert at[0] == 0 and at[-1] == 1000 and (np.diff(at) > 90).all()
     small = np.arange(1 << 16, dtype=np.uint64)
     assert np.diff(K.cuts(small, 5, 16)).min() > 13000
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**40)), max_size=40), st.integers(0, 60))
+@settings(max_examples=200, deadline=None)
+def test_counted_keys_survive(pairs, shift):
+    kept = sorted({k >> shift: c for k, c in pairs}.items())
+    keys, counts = np.array([k for k, _ in kept], np.uint64), np.array([c for _, c in kept], np.int64)
+    back = K.keys_counted(K.counted_keys(keys, counts))
+    assert back[0].tolist() == keys.tolist() and back[1].tolist() == counts.tolist()
+
+
+def test_counted_keys_are_short():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 200_000, dtype=np.uint64))
+    assert len(K.counted_keys(keys, np.ones(len(keys), np.int64))) < 7 * len(keys)
