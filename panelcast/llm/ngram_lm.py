@@ -54,6 +54,17 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the number of each place's value)."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    of = np.empty(len(order), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new].astype(np.int32), of
+
+
 class Grams:
     """The tokens of a block's texts and their n-grams up to ``order``.
 
@@ -73,24 +84,22 @@ class Grams:
         train = np.asarray(table.column("train").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
         weight = np.repeat(np.where(train, self.times, 0), np.diff(self.bounds)).astype(np.float64)
         self.place = (np.arange(len(tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))).astype(np.int32)
-        self.tokens, self.weight, self.order = tokens, weight, order
+        self.weight, self.order, self.mixed = weight, order, T.mix(tokens)
         self.keys, self.of, self.first, self.own = [None], [None], [None], [None]
         self.hashes = tokens
         for k in range(1, order + 1):
             if k > 1:
                 self.hashes = self._longer(self.hashes, k)
             there = np.flatnonzero(self.place >= k - 2).astype(np.int32) if k > 2 else slice(None)
-            keys, first, of = np.unique(self.hashes[there], return_index=True, return_inverse=True)
+            keys, first, of = distinct(self.hashes[there])
             self.own.append(np.bincount(of, weights=weight[there], minlength=len(keys)).astype(np.int64))
             self.keys.append(keys)
             if k > 2:
                 full = np.full(len(tokens), -1, np.int32)
                 full[there] = of
-                self.of.append(full)
-                self.first.append(there[first])
-            else:
-                self.of.append(of.astype(np.int32))
-                self.first.append(first.astype(np.int32))
+                of, first = full, there[first]
+            self.of.append(of)
+            self.first.append(first)
 
     def _longer(self, hashes: np.ndarray, k: int) -> np.ndarray:
         """Hashes of the k-grams: that of the k - 1 tokens one place before, and the last token's."""
@@ -98,7 +107,7 @@ class Grams:
         before[1:] = hashes[:-1]
         before[self.place == 0] = START if k == 2 else 0
         with np.errstate(over="ignore"):
-            return T.mix(before * np.uint64(0x9E3779B97F4A7C15) + T.mix(self.tokens))
+            return T.mix(before * np.uint64(0x9E3779B97F4A7C15) + self.mixed)
 
     def longer_asked(self, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Keys and own counts of the n-grams of ``order`` + 1 tokens that ``asked`` names, and of no others."""
@@ -110,7 +119,7 @@ class Grams:
         else:
             fine[1:] &= some[:-1] | (self.place[1:] == 0)
         where = np.flatnonzero(fine)
-        keys, of = np.unique(self._longer(self.hashes, n)[where], return_inverse=True)
+        keys, _, of = distinct(self._longer(self.hashes, n)[where])
         return keys, np.bincount(of, weights=self.weight[where], minlength=len(keys)).astype(np.int64)
 
     def prefix(self, n: int) -> np.ndarray:
