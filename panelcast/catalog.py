@@ -79,10 +79,11 @@ def business(spark: SparkSession, d: str) -> DataFrame:
     return panel_from(rows, "o_orderstatus", "o_orderdate", F.count(F.lit(1)).cast("double"))
 
 
-def last_days(spark: SparkSession, d: str) -> DataFrame:
-    """The daily panel from its last five days only: shorter than a season."""
-    panel = daily(spark, d)
-    return panel.filter(F.col("ds") > F.lit("2024-01-25").cast("timestamp_ntz"))
+def weeks(spark: SparkSession, d: str) -> DataFrame:
+    """All events by week: fewer weeks than a season has."""
+    day = F.to_date("ts")
+    sunday = F.when(F.dayofweek(day) == 1, day).otherwise(F.next_day(day, "SUN")).cast("timestamp_ntz")
+    return _read(spark, d, "events").groupBy(F.col("event_type").alias("unique_id"), sunday.alias("ds")).agg(_money("value").alias("y"))
 
 
 PANELS: dict[str, tuple[Query, str, str]] = {
@@ -92,7 +93,7 @@ PANELS: dict[str, tuple[Query, str, str]] = {
     "monthly": (monthly, "MS", "SELECT o_orderpriority AS unique_id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ds, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2"),
     "weekly": (weekly, "W", "SELECT l_returnflag AS unique_id, CAST(CAST(l_shipdate AS DATE) + CAST((7 - dayofweek(l_shipdate)) % 7 AS INTEGER) AS TIMESTAMP) AS ds, round(sum(l_quantity), 2) AS y FROM lineitem GROUP BY 1, 2"),
     "business": (business, "B", "SELECT o_orderstatus AS unique_id, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ds, CAST(count(*) AS DOUBLE) AS y FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1, 2"),
-    "last_days": (last_days, "D", "SELECT event_type AS unique_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ds, round(sum(value), 2) AS y FROM events WHERE ts >= TIMESTAMP '2024-01-26' GROUP BY 1, 2"),
+    "weeks": (weeks, "W", "SELECT event_type AS unique_id, CAST(CAST(ts AS DATE) + CAST((7 - dayofweek(ts)) % 7 AS INTEGER) AS TIMESTAMP) AS ds, round(sum(value), 2) AS y FROM events GROUP BY 1, 2"),
 }
 
 
@@ -146,8 +147,7 @@ def _(spark, d):
 
 @_query("panel_stats", f"{_panel_sql('users')}, c AS (SELECT unique_id, count(*) AS n FROM panel GROUP BY 1) SELECT count(*) AS n_series, min(n) AS min_length, max(n) AS max_length FROM c")
 def _(spark, d):
-    s = dataset("users", spark, d)
-    return spark.createDataFrame([(s.n_series, s.min_length, s.max_length)], "n_series bigint, min_length bigint, max_length bigint")
+    return dataset("users", spark, d).stats()
 
 
 @_query("series_filter", f"{_panel_sql('daily')} SELECT * FROM panel WHERE unique_id = 'click'")
@@ -178,9 +178,29 @@ _STEP_SQL = {
     "QE": "last_day(CAST(date_trunc('quarter', d) + to_months(CAST(2 + 3 * m AS INTEGER)) AS DATE))",
     "YS": "CASE WHEN d = date_trunc('year', d) THEN d ELSE date_trunc('year', d) + INTERVAL 12 MONTH END + to_months(CAST(12 * m AS INTEGER))",
     "YE": "last_day(CAST(date_trunc('year', d) + to_months(CAST(11 + 12 * m AS INTEGER)) AS DATE))",
+    "SMS": "CAST(date_trunc('month', d) + to_months(CAST((CASE WHEN day(d) = 1 THEN 0 WHEN day(d) <= 15 THEN 1 ELSE 2 END + m) // 2 AS INTEGER)) AS DATE) + CAST(14 * ((CASE WHEN day(d) = 1 THEN 0 WHEN day(d) <= 15 THEN 1 ELSE 2 END + m) % 2) AS INTEGER)",
+    "SME": "CASE WHEN (CASE WHEN day(d) <= 15 THEN 0 ELSE 1 END + m) % 2 = 0 THEN CAST(date_trunc('month', d) + to_months(CAST((CASE WHEN day(d) <= 15 THEN 0 ELSE 1 END + m) // 2 AS INTEGER)) AS DATE) + 14 ELSE last_day(CAST(date_trunc('month', d) + to_months(CAST((CASE WHEN day(d) <= 15 THEN 0 ELSE 1 END + m) // 2 AS INTEGER)) AS DATE)) END",
 }
 
 
+def _period_sql(months: int, anchor: int, end: bool, business: bool) -> str:
+    """SQL of the anchor m periods on from date d: a period starts or ends in month ``anchor``, on a weekday or not."""
+    away = "CASE isodow({x}) WHEN 6 THEN {sat} WHEN 7 THEN {sun} ELSE 0 END"
+
+    def point(month: str) -> str:
+        x = f"last_day({month})" if end else month
+        return f"({x} + CAST({away.format(x=x, sat=-1 if end else 2, sun=-2 if end else 1)} AS INTEGER))" if business else x
+
+    off = f"(({anchor} - month(d)) % {months} + {months}) % {months}" if end else f"-(((month(d) - {anchor}) % {months} + {months}) % {months})"
+    near = f"CAST(date_trunc('month', d) + to_months(CAST({off} AS INTEGER)) AS DATE)"
+    first = f"(CASE WHEN d <= {point(near)} THEN {near} ELSE CAST({near} + to_months({months}) AS DATE) END)"
+    return point(f"CAST({first} + to_months(CAST({months} * m AS INTEGER)) AS DATE)")
+
+
+for _letters, _rule in (("BMS", (1, 1, False, True)), ("BME", (1, 1, True, True)), ("QS-OCT", (3, 10, False, False)), ("QE-NOV", (3, 11, True, False)), ("YS-APR", (12, 4, False, False)), ("YE-JUN", (12, 6, True, False)), ("BQE", (3, 12, True, True))):
+    _STEP_SQL[_letters] = _period_sql(*_rule)
+
+
 def _future_sql(last: str, letters: str, n: int, h: int) -> str:
     """SQL of (unique_id, ds): h steps of n periods after ``last`` (unique_id, last_ds)."""
     steps = f"SELECT unique_id, last_ds, CAST(last_ds AS DATE) AS d, k * {n} AS m, CAST(last_ds AS DATE) + CAST(CASE isodow(last_ds) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER) AS b FROM {last}, (SELECT unnest(range(1, {h + 1})) AS k)"
@@ -201,6 +221,8 @@ def _future_query(name: str, panel: str, letters: str, n: int = 1, h: int = 9) -
 for _args in (
     ("d", "daily", "D"), ("h", "hourly", "h"), ("w", "weekly", "W"), ("ms", "monthly", "MS"), ("me", "business", "ME"), ("qs", "monthly", "QS"), ("qe", "monthly", "QE"),
     ("b", "business", "B"), ("ys", "business", "YS"), ("ye", "business", "YE"), ("2ms", "business", "MS", 2), ("3b", "weekly", "B", 3), ("2w", "daily", "W", 2), ("15min", "hourly", "min", 15),
+    ("bms", "business", "BMS"), ("bme", "business", "BME"), ("qs_oct", "monthly", "QS-OCT"), ("qe_nov", "monthly", "QE-NOV"), ("ys_apr", "business", "YS-APR"), ("ye_jun", "business", "YE-JUN"),
+    ("sms", "daily", "SMS"), ("sme", "daily", "SME"),
 ):
     _future_query(*_args)
 
@@ -244,7 +266,7 @@ def _baseline_queries(name: str, panel: str, letters: str, h: int, season: int)
         return seasonal_naive(dataset(panel, spark, d, h), h)
 
 
-for _args in (("d", "daily", "D", 10, 7), ("h", "hourly", "h", 30, 24), ("ms", "monthly", "MS", 15, 12), ("w", "weekly", "W", 60, 52), ("b", "business", "B", 12, 5), ("users", "users", "D", 14, 7), ("short", "last_days", "D", 10, 7)):
+for _args in (("d", "daily", "D", 10, 7), ("h", "hourly", "h", 30, 24), ("ms", "monthly", "MS", 15, 12), ("w", "weekly", "W", 60, 52), ("b", "business", "B", 12, 5), ("users", "users", "D", 14, 7), ("short", "weeks", "W", 10, 52)):
     _baseline_queries(*_args)
 
 
@@ -405,13 +427,13 @@ def _(spark, d):
 
 # --- covariates --------------------------------------------------------------------------------
 
-_COUNTS = "SELECT event_type AS unique_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ds, CAST(count(*) AS DOUBLE) AS n_events FROM events WHERE day(ts) % 3 > 0 GROUP BY 1, 2"
+_COUNTS = "SELECT event_type AS unique_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ds, CASE WHEN min(day(ts)) % 3 > 0 THEN CAST(count(*) AS DOUBLE) END AS n_events FROM events GROUP BY 1, 2"
 
 
 def _past(spark: SparkSession, d: str) -> DataFrame:
-    """Event counts of two days in three."""
-    rows = _read(spark, d, "events").filter(F.dayofmonth("ts") % 3 > 0)
-    return panel_from(rows, "event_type", "ts", F.count(F.lit(1)).cast("double")).withColumnRenamed("y", "n_events")
+    """Event counts of all days, unknown on every third."""
+    rows = panel_from(_read(spark, d, "events"), "event_type", "ts", F.count(F.lit(1)).cast("double"))
+    return rows.select("unique_id", "ds", F.when(F.dayofmonth("ds") % 3 > 0, F.col("y")).alias("n_events"))
 
 
 @_query("cov_past_align", f"{_panel_sql('daily')} SELECT p.unique_id, list(coalesce(c.n_events, 'NaN'::DOUBLE) ORDER BY p.ds) AS n_events FROM panel p LEFT JOIN ({_COUNTS}) c USING (unique_id, ds) GROUP BY 1")

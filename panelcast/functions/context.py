@@ -70,7 +70,9 @@ def exact_length(ctx: Column, length: int | None) -> Column:
 
 def fill_mean(ctx: Column) -> Column:
     """NaN and null become the mean of the rest (0 if there is none); an empty vector becomes [0]."""
-    filled = F.transform(ctx, lambda x: F.when(x.isNull() | F.isnan(x), nan_mean(ctx)).otherwise(x))
+    # the mean is computed once a vector: it is the one element the outer transform runs over
+    fill = lambda m: F.transform(ctx, lambda x: F.when(x.isNull() | F.isnan(x), m).otherwise(x))
+    filled = F.element_at(F.transform(F.array(nan_mean(ctx)), fill), 1)
     return F.when(F.size(ctx) == 0, F.array(F.lit(0.0))).otherwise(filled)
 
 

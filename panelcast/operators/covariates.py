@@ -44,7 +44,9 @@ def past_block(dataset: TSDataset) -> DataFrame:
     """(unique_id, block): past covariates on the series' own time stamps, NaN where there is none."""
     cov = dataset.covariates.past
     names = features(cov)
-    own = cov.groupBy(*KEYS).agg(*[F.first(n).cast("double").alias(f"cov_{i}") for i, n in enumerate(names)])
+    # of rows with equal keys the smallest counts, column by column: whichever it is, always the same one
+    row = F.struct(*[F.col(f"`{n}`").cast("double").alias(f"cov_{i}") for i, n in enumerate(names)])
+    own = cov.groupBy(*KEYS).agg(F.min(row).alias("c")).select(*KEYS, "c.*")
     joined = dataset.df.select("unique_id", "ds", "y").join(own, list(KEYS), "left")
     rows = joined.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("ds", "y", *[F.coalesce(f"cov_{i}", F.lit(float("nan"))).alias(f"cov_{i}") for i in range(len(names))]))).alias("r"))
     return rows.select("unique_id", F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col("r").getField(f"cov_{i}"))]).alias("block"))

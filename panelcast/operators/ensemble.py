@@ -6,6 +6,7 @@ give a column (it is ignored); NaN is a model's value and makes the result NaN.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -38,7 +39,8 @@ def _check(predictions: Sequence[DataFrame], method: str) -> None:
 def ensemble_with_quantiles(predictions: Sequence[DataFrame], method: str = "median", quantiles: Sequence[float] = (), quantile_mode: str = "best_effort") -> DataFrame:
     """(unique_id, ds, yhat, q...) over all models; a single forecast is returned untouched.
 
-    A requested level that no model has is left out, or raises EInsufficient in ``strict`` mode.
+    Other columns of the first forecast are carried along by key, null where it has no such row; its levels
+    that were not requested are not. A requested level that no model has is left out, or raises EInsufficient in ``strict`` mode.
     """
     _check(predictions, method)
     if len(predictions) == 1:
@@ -48,8 +50,15 @@ def ensemble_with_quantiles(predictions: Sequence[DataFrame], method: str = "med
     if quantile_mode == "strict" and len(there) < len(wanted):
         raise EInsufficient(f"No model gives the quantiles {[c for c in wanted if c not in there]}")
     columns = ["yhat", *there]
-    parts = [p.select("unique_id", "ds", *[(F.col(f"`{c}`") if c in p.columns else F.lit(None)).cast("double").alias(c) for c in columns]) for p in predictions]
-    return reduce(DataFrame.unionAll, parts).groupBy("unique_id", "ds").agg(*[combine(F.col(f"`{c}`"), method).alias(c) for c in columns])
+    first = predictions[0]
+    carried = [c for c in first.columns if c not in ("unique_id", "ds", *columns) and not re.fullmatch(r"q\d+(\.\d+)?", c)]
+    parts = []
+    for p in predictions:
+        own = [(F.col(f"`{c}`") if c in p.columns else F.lit(None)).cast("double").alias(c) for c in columns]
+        rest = [(F.col(f"`{c}`") if p is first else F.lit(None).cast(first.schema[c].dataType)).alias(c) for c in carried]
+        parts.append(p.select("unique_id", "ds", *own, *rest))
+    keep = [F.first(f"`{c}`", ignorenulls=True).alias(c) for c in carried]  # the first forecast has a key once
+    return reduce(DataFrame.unionAll, parts).groupBy("unique_id", "ds").agg(*[combine(F.col(f"`{c}`"), method).alias(c) for c in columns], *keep)
 
 
 def ensemble(predictions: Sequence[DataFrame], method: str = "median", quantiles: Sequence[float] = (), quantile_mode: str = "best_effort") -> DataFrame:

@@ -122,16 +122,18 @@ class TSDataset:
     def lengths(self) -> DataFrame:
         return self.df.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n"), F.min("ds").alias("start_ds"), F.max("ds").alias("last_ds"), F.max_by("y", F.struct("ds", "y")).alias("last_y"))
 
-    def _extreme(self, how) -> int:
-        return self.df.groupBy("unique_id").count().agg(how("count")).first()[0] or 0
+    def stats(self) -> DataFrame:
+        """One row (n_series, min_length, max_length), lazily and in one pass; lengths are 0 without series."""
+        length = F.col("count")
+        return self.df.groupBy("unique_id").count().agg(F.count(F.lit(1)).alias("n_series"), *[F.coalesce(f(length), F.lit(0)).cast("bigint").alias(f"{n}_length") for n, f in (("min", F.min), ("max", F.max))])
 
     @property
     def min_length(self) -> int:
-        return self._extreme(F.min)
+        return self.stats().first()["min_length"]
 
     @property
     def max_length(self) -> int:
-        return self._extreme(F.max)
+        return self.stats().first()["max_length"]
 
     def get_series(self, unique_id: Any) -> DataFrame:
         return self.df.filter(F.col("unique_id") == F.lit(unique_id)).orderBy("ds", "y")
@@ -139,7 +141,8 @@ class TSDataset:
     def series(self, longest: int | None = None) -> DataFrame:
         """(unique_id, n, start_ds, last_ds, ctx): a row a series, ``ctx`` its values in order.
 
-        With ``longest`` only the newest values; n and start_ds are those of the whole series.
+        With ``longest`` only the newest values; n and start_ds are those of the whole series. Without it a
+        vector is as long as its series, and one task holds it: for a series of very many rows, give a limit.
         """
         vector = F.array_sort(F.collect_list(F.struct("ds", "y")))
         facts = [F.count(F.lit(1)).alias("n"), F.min("ds").alias("start_ds"), F.max("ds").alias("last_ds")]

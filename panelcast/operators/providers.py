@@ -1,7 +1,7 @@
 """Pretrained models as providers that run on the executors in Arrow batches.
 
 A provider is a small picklable object; workers load its model once and keep it (by class, name,
-device and generation). ``predict`` is one lazy ``mapInPandas`` over a frame with a row a series; batches
+device and generation). ``predict`` numbers batches of series by length and is then one lazy ``mapInPandas`` over a frame with a row a series; batches
 are numbered before they leave the JVM, so they do not depend on row order.
 """
 
@@ -116,9 +116,9 @@ def _prepared(dataset: TSDataset, provider: ModelProvider) -> DataFrame:
 
 
 def predict(provider: ModelProvider, dataset: TSDataset, h: int, quantiles: Sequence[float] = (), batch_size: int = 32, device: str = "cpu", generation: int = 0) -> DataFrame:
-    """(unique_id, ds, yhat, q...): the provider's forecast of every series.
+    """(unique_id, ds, yhat, q...): the provider's forecast of every series, a lazy frame.
 
-    A series whose forecast is shorter than the horizon gets the steps there are.
+    Numbering the batches runs one small job here, over the series' lengths alone. A series whose forecast is shorter than the horizon gets the steps there are.
     """
     ship(dataset.df.sparkSession)
     steps = validate_prediction_length(h, provider.spec, dataset.config.strict_length_limits)
@@ -155,16 +155,21 @@ def predict(provider: ModelProvider, dataset: TSDataset, h: int, quantiles: Sequ
         blocks = lambda c: [None if m is None else dict(m) for m in part[c]]
         batch = Batch(list(part["unique_id"]), [np.asarray(c, np.float32) for c in part["ctx"]], steps, tuple(levels), list(part["start_ds"]), frequency, blocks("future"), blocks("past"))
         got = provider.predict_batch(model, batch)
-        out = []
-        for i, (uid, last) in enumerate(zip(part["unique_id"], part["last_ds"])):
-            points = np.asarray(got.points[i], float)[:steps]
-            columns = {"unique_id": uid, "last_ds": last, "step": np.arange(1, len(points) + 1, dtype=np.int32), "yhat": points}
-            for q in levels:
-                course = got.quantiles.get(q)
-                columns[quantile_name(q)] = None if course is None or course[i] is None else np.asarray(course[i], float)[: len(points)]
-            out.append(pd.DataFrame(columns))
-        frame = pd.concat(out, ignore_index=True)
-        frame[[quantile_name(q) for q in levels]] = frame[[quantile_name(q) for q in levels]].astype("Float64") if levels else frame[[]]
+        points = [np.asarray(p, float)[:steps] for p in got.points]
+        sizes = [len(p) for p in points]
+        begin = np.cumsum([0, *sizes])
+        at = np.repeat(np.arange(len(part)), sizes)
+        frame = part[["unique_id", "last_ds"]].iloc[at].reset_index(drop=True)
+        frame["step"] = (np.arange(len(at)) - begin[at] + 1).astype(np.int32)
+        frame["yhat"] = np.concatenate([np.zeros(0), *points])
+        for q in levels:
+            values, absent = np.zeros(len(at)), np.ones(len(at), bool)
+            for i, course in enumerate(got.quantiles.get(q) or ()):
+                if course is not None:
+                    course = np.asarray(course, float)[: sizes[i]]
+                    own = slice(begin[i], begin[i] + len(course))
+                    values[own], absent[own] = course, False
+            frame[quantile_name(q)] = pd.arrays.FloatingArray(values, absent)  # NaN is a value, absent is null
         return frame
 
     kind = dataset.df.schema["unique_id"].dataType.simpleString()
@@ -202,9 +207,21 @@ class DecileProvider:
         return Forecasts(list(np.asarray(points)), {q: [f.get(q) for f in found] for q in batch.quantiles})
 
 
+def model_levels(model: Any) -> tuple[float, ...] | None:
+    """The quantile levels a loaded model names, in its configuration or its backbone."""
+    for part in ("config", "backbone"):
+        if (found := getattr(getattr(model, part, None), "quantile_levels", None)) is not None:
+            return tuple(float(q) for q in found)
+    return None
+
+
 @dataclass
 class QuantileProvider:
-    """A model of exact context length that returns (batch, quantile, horizon), NaNs repaired."""
+    """A model of exact context length that returns (batch, quantile, horizon), NaNs repaired.
+
+    Levels and context length not given here are those of the loaded model; a requested level it does not
+    have is null.
+    """
 
     spec: Any
     exact_context: int | None = None
@@ -226,10 +243,11 @@ class QuantileProvider:
     def predict_batch(self, model: Any, batch: Batch) -> Forecasts:
         exact = self.exact_context or getattr(getattr(model, "config", None), "context_length", None)
         batch.contexts = [fit_exact(c, exact) for c in batch.contexts]
-        asked = O.matched_levels(self.levels, batch.quantiles)
+        own = self.levels or model_levels(model)
+        asked = O.matched_levels(own, batch.quantiles)
         raw = self.call(model, batch, asked)
         n, last = len(batch.ids), [float(c[-1]) if len(c) else 0.0 for c in batch.contexts]
-        points = O.extract_batch_forecasts(raw, batch.h, n, asked or (list(self.levels) if self.levels else None))
+        points = O.extract_batch_forecasts(raw, batch.h, n, asked or (list(own) if own else None))
         courses = O.extract_batch_quantiles(raw, batch.h, n, asked)
         fixed = {q: [None if np.isnan(v).all() else O.repair_nan(v, x) for v, x in zip(vs, last)] for q, vs in courses.items()}
         return Forecasts([O.repair_nan(p, x) for p, x in zip(points, last)], fixed)
@@ -284,7 +302,7 @@ class SampleProvider:
 
 def start_of_context(start, n: int, kept: int, freq: str):
     """The first time stamp of a context of which only the newest ``kept`` of ``n`` values are left."""
-    return pd.date_range(start=start, periods=max(1, n - kept + 1), freq=fq.normalize_alias(freq))[-1] if n > kept else start
+    return pd.date_range(start=start, periods=max(1, n - kept + 1), freq=fq.pandas_alias(freq))[-1] if n > kept else start
 
 
 def padding(lengths: Sequence[int], batch_size: int) -> int:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-from panelcast.operators.providers import release
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from panelcast.operators.providers import release, worker_model
+from panelcast.operators.shared import ship
 from panelcast.plans.registry import PROVIDERS, REGISTRY, ModelSpec
 
 
@@ -32,10 +37,34 @@ class ModelCache:
         return cls._models[key]
 
     @classmethod
-    def preload(cls, models: Iterable[ModelSpec], device: str = "cpu") -> None:
+    def preload(cls, models: Iterable[ModelSpec], device: str = "cpu", spark: SparkSession | None = None) -> None:
+        """Load models in this process, or with ``spark`` on its workers instead (see ``preload_workers``)."""
+        if spark is not None:
+            cls.preload_workers(models, device, spark).collect()
+            return
         for spec in models:
             cls.get(spec, device)
 
+    @classmethod
+    def preload_workers(cls, models: Iterable[ModelSpec], device: str, spark: SparkSession, tasks: int | None = None) -> DataFrame:
+        """(task, process, model): a task for every slot loads the models where forecasts will run.
+
+        Workers that Spark uses again keep them; one it starts later loads on first use. Best effort:
+        Spark may give a worker two of the tasks.
+        """
+        ship(spark)
+        providers, generation = [provider_of(s) for s in models], cls.generation
+        n = tasks or spark.sparkContext.defaultParallelism
+
+        def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for p in providers:
+                    worker_model(p, device, generation)
+                for task in frame["id"]:
+                    yield pd.DataFrame({"task": task, "process": os.getpid(), "model": [p.name for p in providers]})
+
+        return spark.range(0, n, 1, n).mapInPandas(load, "task bigint, process bigint, model string")
+
     @classmethod
     def unload(cls, name: str | None = None) -> None:
         """Forget one model or all; each provider's hook is called, workers reload on next use."""

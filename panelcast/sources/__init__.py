@@ -25,7 +25,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header: a folder of files, or with ``single`` a folder of one (small results only)."""
+    """CSV with a header: a folder of files, or with ``single`` a folder of one, written by one task (small results only)."""
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
 
 

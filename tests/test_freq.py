@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from panelcast.functions import freq as fq
 
 
-@pytest.mark.parametrize("letters", ["D", "W", "W-WED", "B", "MS", "ME", "QS", "QE", "YS", "YE", "h", "min", "s"])
+@pytest.mark.parametrize("letters", [
+    "D", "W", "W-WED", "B", "C", "MS", "ME", "BMS", "BME", "QS", "QE", "QS-OCT", "QS-FEB", "QE-NOV", "BQS", "BQE", "BQS-MAY", "BQE-JAN", "YS", "YE", "YS-APR", "YE-JUN", "BYS", "BYE", "BYE-SEP",
+    "SMS", "SME", "h", "min", "s", "ms", "us",
+])
 def test_future_equals_pandas(spark, letters):
     starts = [dt.datetime(2023, 12, 20) + dt.timedelta(days=i, hours=i % 24, minutes=i % 60) for i in range(0, 440, 3)]
     base = spark.createDataFrame([(s,) for s in starts], "last timestamp_ntz").select("last", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k"))
@@ -38,6 +41,20 @@ def test_season_length(freq, season):
 
 def test_aliases_and_unknown_frequencies():
     assert [fq.normalize_alias(f) for f in ("H", "2H", "M", "3M", "MS", "D")] == ["h", "2h", "ME", "3ME", "MS", "D"]
-    for bad in ("", "xyz", "0D", "QS-FEB", "1.5D"):
+    for bad in ("", "xyz", "0D", "QS-FOO", "MS-FEB", "D-MON", "W-FEB", "1.5D", "ns"):
         with pytest.raises(ValueError):
             fq.check(bad)
+
+
+@pytest.mark.parametrize("freq", ["D", "h", "15min", "W", "W-WED", "B", "MS", "ME", "2MS", "BMS", "QS", "QE", "QS-OCT", "QE-NOV", "YS", "YE", "YS-APR", "YE-JUN"])
+def test_periods_step_as_their_frequency(freq):
+    stamps = pd.date_range("2024-01-31", periods=4, freq=freq)
+    alias = fq.period_alias(freq)
+    periods = [pd.Period(s, freq=alias) for s in stamps]
+    assert len(set(periods)) == 4
+    first = pd.Period(stamps[0], freq=alias)
+    assert [first + k for k in range(4)] == periods  # a step of the period is a step of the frequency
+
+
+def test_spellings_of_pandas():
+    assert [fq.pandas_alias(f) for f in ("H", "2T", "Q", "Q-NOV", "A-JUN", "BM", "W-WED", "15min")] == ["h", "2min", "QE", "QE-NOV", "YE-JUN", "BME", "W-WED", "15min"]
