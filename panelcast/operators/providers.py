@@ -39,6 +39,7 @@ class Batch:
     freq: str
     future: list[dict[str, list[float]] | None]
     past: list[dict[str, list[float]] | None]
+    lengths: list[int] | None = None  # of the whole series, of which a context may hold the newest values
 
 
 @dataclass
@@ -153,7 +154,7 @@ def predict(provider: ModelProvider, dataset: TSDataset, h: int, quantiles: Sequ
 
     def one(model: Any, part: pd.DataFrame) -> pd.DataFrame:
         blocks = lambda c: [None if m is None else dict(m) for m in part[c]]
-        batch = Batch(list(part["unique_id"]), [np.asarray(c, np.float32) for c in part["ctx"]], steps, tuple(levels), list(part["start_ds"]), frequency, blocks("future"), blocks("past"))
+        batch = Batch(list(part["unique_id"]), [np.asarray(c, np.float32) for c in part["ctx"]], steps, tuple(levels), list(part["start_ds"]), frequency, blocks("future"), blocks("past"), [int(n) for n in part["n"]])
         got = provider.predict_batch(model, batch)
         points = [np.asarray(p, float)[:steps] for p in got.points]
         sizes = [len(p) for p in points]
@@ -174,7 +175,7 @@ def predict(provider: ModelProvider, dataset: TSDataset, h: int, quantiles: Sequ
 
     kind = dataset.df.schema["unique_id"].dataType.simpleString()
     schema = f"unique_id {kind}, last_ds timestamp_ntz, step int, yhat double" + "".join(f", `{quantile_name(q)}` double" for q in levels)
-    raw = batched.select("unique_id", "start_ds", "last_ds", "ctx", "future", "past", "batch").mapInPandas(run, schema)
+    raw = batched.select("unique_id", "start_ds", "last_ds", "n", "ctx", "future", "past", "batch").mapInPandas(run, schema)
     return raw.select("unique_id", fq.future(F.col("last_ds"), F.col("step"), frequency).alias("ds"), "yhat", *[F.col(f"`{quantile_name(q)}`") for q in levels])
 
 

@@ -96,7 +96,7 @@ class Moirai:
             kept[key] = kind(module=module, prediction_length=batch.h, context_length=key[1], target_dim=1, feat_dynamic_real_dim=future, past_feat_dynamic_real_dim=past).create_predictor(batch_size=len(batch.ids))
         period, entries = fq.period_alias(batch.freq), []
         for i, ctx in enumerate(map(fill_neighbours, batch.contexts)):
-            whole = max(len(ctx), sizes[i] - batch.h)
+            whole = max(len(ctx), batch.lengths[i] if batch.lengths else sizes[i] - batch.h)
             entry = {"start": pd.Period(start_of_context(batch.starts[i], whole, len(ctx), batch.freq), freq=period), "target": ctx}
             if batch.future[i]:
                 entry["feat_dynamic_real"] = np.array([v[-(len(ctx) + batch.h) :] for v in batch.future[i].values()])
