@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelcast.operators import shared
 
@@ -62,12 +63,30 @@ def _hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def among_smallest(hashed: Column, n: int, count: Column) -> Column:
+    """Whether a 64-bit hash is small enough to be among the n smallest of ``count`` ones.
+
+    Twice as many and a hundred more stay on average, so all n do but for a chance below 10**-20; a row is
+    judged by itself, so a sample needs no task that meets all rows.
+    """
+    return F.pmod(hashed, F.lit(1 << 53)).cast("double") * count <= F.lit(float((2 * n + 100) << 53))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def together(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """``df`` in n partitions, rows equal in ``columns`` in one of them, for functions over whole partitions.
+
+    A plain ``repartition`` on columns does not promise that: adaptive execution drops it where a join below is
+    partitioned alike, and may then read that join's shuffle locally. Partitions by number stay.
+    """
+    return df.repartitionById(n, F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int"))
+
+
 def own_column(df: DataFrame, wish: str) -> str:
     """``wish``, lengthened until no column of ``df`` (in any case) has that name."""
     taken = {c.lower() for c in df.columns}

@@ -271,7 +271,7 @@ def candidate_groups(classes: DataFrame, threshold: float) -> DataFrame:
     sizes = B.checkpointed(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("first")).filter(F.col("size") > 1))
     told = sizes.agg(F.sum(F.when(F.col("size") <= SIDE, F.col("size")))).first()[0] or 0
     small = rows.join(sizes.filter(F.col("size") <= SIDE).select("band"), "band").join(classes.select("key", "sig"), "key")
-    small = small.repartition(partitions(classes, told), "band").sortWithinPartitions("band", "key")
+    small = B.together(small, partitions(classes, told), "band").sortWithinPartitions("band", "key")
     large = rows.join(sizes.filter(F.col("size") > SIDE), "band").select(F.col("key").alias("a"), F.col("first").alias("b"))
     return small.mapInArrow(run, "a bigint, b bigint").unionAll(large)
 

@@ -495,3 +495,44 @@ def test_pipeline_by_brute_force(spark, data_dir):
     for i, r in seen["encoded"].items():
         assert r.n_tokens == len(tool.encode(seen["without_secrets"][i].text, add_special_tokens=False).ids)
     assert corpus_pipeline.run(spark, data_dir).count() == len(seen["encoded"])
+
+
+def small_tables(spark, place, rows):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, t, k in rows], schema).write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{place}/benchmark.parquet")
+    return str(place)
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = "the house stands near the river and the old road " * 5, "das haus steht am fluss und die alte strasse " * 5
+    rows = [(i, f"{a} number{i} {' '.join(f'w{i}x{j}' for j in range(30))}", "en") for i in range(8)]
+    rows += [(10 + i, f"{b} zahl{i} {' '.join(f'v{i}y{j}' for j in range(30))}", "de") for i in range(8)]
+    rows += [(None, a + "no id", "en"), (None, a + "no id", "en"), (30, a + "twice", None), (30, a + "twice", None), (31, None, "en"), (32, "", "de"), (33, "123 $$$", "en")]
+    rows += [(34, "東京 " * 30, None), (35, a + "the quick brown fox jumps over the lazy dog today, a short item", "en"), (36, a + "password = hunter2345", "en")]
+    rows += [(37, " ".join(f"{'the' if j % 2 else 'house'} river{j}" for j in range(40_000)), "en")]
+    place = small_tables(spark, tmp_path / "t", rows)
+    out = corpus_pipeline.run(spark, place).collect()
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in out)
+    assert len(ids) == len(set(ids))  # copies are gone, repeated rows and null ids included
+    kept = {r.doc_id for r in out}
+    assert {31, 32, 33, 34, 35}.isdisjoint(kept) and {0, 10, 36, 37} <= kept
+    empty = small_tables(spark, tmp_path / "e", [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_language_stage_uses_the_prediction(spark, data_dir):
+    """The stage drops what the predicted language hardly knows, and nothing else of its input."""
+    import corpus_pipeline
+    from panelcast.llm import language_id
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    strange = docs.limit(3).withColumn("doc_id", -F.col("doc_id") - 1).withColumn("lang", F.lit(None).cast("string")).withColumn("text", F.lit("Жук щит яма " * 20))
+    out = corpus_pipeline.language(spark, docs.unionAll(strange), data_dir)
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    assert min(kept) >= 0 and out.columns == docs.columns
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    judged = language_id.predict(docs, language_id.fit(docs, remainder != 2), ["doc_id"]).collect()
+    assert kept == {r.doc_id for r in judged if r.lang_pred != "und" and r.known >= language_id.KNOWN}
