@@ -56,7 +56,7 @@ def salted(seed: int, n: int) -> np.ndarray:
 
 
 @functools.cache
-def tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
+def tables(kind: str, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(is word byte, substitution) by byte value."""
     b = np.arange(256)
     low = b.copy()
@@ -65,7 +65,7 @@ def tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
     else:
         low = np.where((b >= 65) & (b <= 90), b + 32, b)
         word = (b >= 0x80) | ((low >= 97) & (low <= 122)) | ((b >= 48) & (b <= 57))
-    return word, salted(11, 256)[low]
+    return word, salted(seed, 256)[low]
 
 
 @functools.cache
@@ -123,15 +123,15 @@ def _first(offsets: np.ndarray, a: int, b: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: pa.Array, kind: str = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, bounds): text i has the words bounds[i]:bounds[i+1]."""
-    hashes, bounds, _, _ = word_spans(texts, kind)
+def word_hashes(texts: pa.Array, kind: str = SPACE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, bounds): text i has the words bounds[i]:bounds[i+1]; other seeds, other hashes."""
+    hashes, bounds, _, _ = word_spans(texts, kind, seed)
     return hashes, bounds
 
 
-def word_spans(texts: pa.Array, kind: str = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: pa.Array, kind: str = SPACE, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``word_hashes`` and each word's first byte and end in the texts' buffer."""
-    word, sub = tables(kind)
+    word, sub = tables(kind, seed)
     data, offsets = buffers(texts)
     found, places, stops = [], [], []
     for a, b in _pieces(data, offsets, word):

@@ -4,12 +4,12 @@ A window is ``WINDOW`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one docum
 block of documents sketches its windows in a count-min sketch of two rows; the sketches are merged,
 range by range of the cells, over the cluster. A merged cell never counts less than any window in
 it, so a window with a cell of 1 is surely alone. Only the others, estimated repeated, are grouped
-exactly in the second pass, by 64-bit hashes independent of the cells. Words covered by a window
+exactly in the second pass, by 128-bit hashes of their words. Words covered by a window
 that occurs again, in the same document or another, are removed. As only "one or more" matters,
 cells saturate at two. The sketch's width follows the input, so it works alike at every size.
 
-A window that does not repeat is taken for one that does if both its cells and its hash are
-shared: with 2**-64 for a hash, about one in 10**14 windows at a billion windows.
+A window that does not repeat is taken for one that does if another one shares its 128-bit hash: for n
+windows the chance of any error is about n**2 / 2**129, below 10**-12 at 10**13 windows.
 
 Defined results: null text has no words; texts of fewer words than a window lose nothing; rows equal
 in id and text repeat each other's windows (a block keeps two of them and answers for all); an empty
@@ -37,10 +37,10 @@ class Plan:
     def __init__(self, window: int, n: int, bits: int) -> None:
         self.window, self.n, self.bits = window, n, bits
 
-    def windows(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, table: pa.Table, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window hashes, first words, bounds of the texts' words)."""
-        words, bounds = T.word_hashes(large_texts(table), T.SPACE)
-        hashes, places = T.window_hashes(words, bounds, self.window, 35)
+        words, bounds = T.word_hashes(large_texts(table), T.SPACE, seed)
+        hashes, places = T.window_hashes(words, bounds, self.window, seed + 24)
         return hashes, places, bounds
 
     def rows(self, hashes: np.ndarray) -> list[np.ndarray]:
@@ -52,7 +52,7 @@ class Plan:
         return T.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
 
     def suspected(self, table: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys of the windows estimated repeated, their first words, bounds)."""
+        """(keys[window, half] of the windows estimated repeated, their first words, bounds)."""
         hashes, places, bounds = self.windows(table)
         flags = {(k, b): raw for k, b, raw in zip(K.cells(replies, "kind"), K.cells(replies, "bucket"), K.cells(replies, "body"))}
         keep = np.ones(len(hashes), bool)
@@ -62,7 +62,19 @@ class Plan:
             more = [np.unpackbits(np.frombuffer(flags[r, b], np.uint8), count=int(at[b + 1] - at[b])) for b in range(self.n) if at[b + 1] > at[b]]
             if more:
                 keep &= np.concatenate(more).astype(bool)[inverse]
-        return self.key(hashes[keep]), places[keep], bounds
+        more, _, _ = self.windows(table, 12)
+        return np.stack([self.key(hashes[keep]), more[keep]], axis=1), places[keep], bounds
+
+
+def distinct_keys(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys[., half], the number of each row's key, how often or with what weight each occurs)."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    ordered = keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], of, np.bincount(of, weights=weights, minlength=int(new.sum()))
 
 
 def large_texts(table: pa.Table) -> pa.Array:
@@ -139,8 +151,8 @@ def _candidates(plan: Plan, table: pa.Table, replies: pa.Table) -> pa.Table:
     if not table.num_rows:
         return _table({"bucket": [], "block": [], "kind": [], "body": []}, _MESSAGE)
     keys, _, _ = plan.suspected(twice_at_most(table)[0], replies)
-    distinct, times = np.unique(keys, return_counts=True)
-    at = K.cuts(distinct, plan.n, 64)
+    distinct, _, times = distinct_keys(keys)
+    at = K.cuts(distinct[:, 0], plan.n, 64)
     out = {"bucket": [], "block": [], "kind": [], "body": []}
     for b in np.flatnonzero(np.diff(at)).tolist():
         part = slice(at[b], at[b + 1])
@@ -152,21 +164,21 @@ def _candidates(plan: Plan, table: pa.Table, replies: pa.Table) -> pa.Table:
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(body) * 8 // 65  # n bits, rounded up to bytes, and n keys of 8 bytes
-    while -(-n // 8) + 8 * n > len(body):
+    n = len(body) * 8 // 129  # n bits, rounded up to bytes, and n keys of 16 bytes
+    while -(-n // 8) + 16 * n > len(body):
         n -= 1
-    head = len(body) - 8 * n
-    return np.frombuffer(body, np.uint64, n, head), np.unpackbits(np.frombuffer(body, np.uint8, head), count=n).astype(bool)
+    head = len(body) - 16 * n
+    return np.frombuffer(body, np.uint64, 2 * n, head).reshape(n, 2), np.unpackbits(np.frombuffer(body, np.uint8, head), count=n).astype(bool)
 
 
 def _group(plan: Plan, table: pa.Table) -> pa.Table:
     """Group one bucket's keys exactly; answer with a bit for each of a block's keys: it repeats."""
     sent = [_unpack(x) for x in K.cells(table, "body")]
-    every = np.sort(np.concatenate([np.concatenate([k, k[more]]) for k, more in sent]))
-    twice = every[1:][every[1:] == every[:-1]]
-    n = len(sent)
+    keys, more = np.concatenate([k for k, _ in sent]), np.concatenate([m for _, m in sent])
+    _, of, times = distinct_keys(keys, 1.0 + more)
+    repeats, ends, n = (times > 1)[of], np.cumsum([len(k) for k, _ in sent]).tolist(), len(sent)
     return _table(
-        {"block": K.cells(table, "block"), "bucket": K.cells(table, "bucket"), "kind": [2] * n, "body": [np.packbits(_in(k, twice)).tobytes() for k, _ in sent]},
+        {"block": K.cells(table, "block"), "bucket": K.cells(table, "bucket"), "kind": [2] * n, "body": [np.packbits(repeats[e - len(k) : e]).tobytes() for e, (k, _) in zip(ends, sent)]},
         _REPLY,
     )
 
@@ -178,8 +190,8 @@ def _remove(plan: Plan, schema: pa.Schema, table: pa.Table, replies: pa.Table) -
     table, row_of = twice_at_most(table)
     kind = np.array(K.cells(replies, "kind"))
     keys, places, bounds = plan.suspected(table, replies.filter(pa.array(kind < 2)))
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    at = K.cuts(distinct, plan.n, 64)
+    distinct, inverse, _ = distinct_keys(keys)
+    at = K.cuts(distinct[:, 0], plan.n, 64)
     told = replies.filter(pa.array(kind == 2))
     repeats = np.zeros(len(distinct), bool)
     for b, raw in zip(K.cells(told, "bucket"), K.cells(told, "body")):
