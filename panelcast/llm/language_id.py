@@ -147,8 +147,10 @@ def build_filter(codes: np.ndarray, bits: int) -> bytes:
 def fit(df: DataFrame, train: Column, sample: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from at most ``sample`` labelled rows a language (see the module's text)."""
     rows = df.filter(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    picked = rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= sample).select("lang", "text")
+    sizes = dict(map(tuple, rows.groupBy("lang").count().collect()))  # a number a language
+    count = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(n))]), F.col("lang")) if sizes else F.lit(0.0)
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    picked = rows.filter(B.among_smallest(F.col("h"), sample, count)).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= sample).select("lang", "text")
 
     def learn(table: pa.Table) -> pa.Table:
         codes = distinct_grams(B.text_array(table, "text").to_pylist())
@@ -163,7 +165,6 @@ def fit(df: DataFrame, train: Column, sample: int = 200, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(made, pa.binary())], ["lang", "bits"])
 
     built = learned.select("lang", "codes").mapInArrow(build, "lang string, bits binary").collect()
-    sizes = dict(map(tuple, rows.groupBy("lang").count().collect()))
     built.sort(key=lambda r: (-sizes.get(r[0], 0), r[0]))
     return Filters.of([r[0] for r in built], [bytes(r[1]) for r in built])
 
