@@ -138,7 +138,8 @@ def predict(provider: ModelProvider, dataset: TSDataset, h: int, quantiles: Sequ
             rows = rows.withColumn(kind, F.lit(None).cast("map<string,array<double>>"))
     batched = length_batches(rows, batch_size)
     n = max(1, int(dataset.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    batched = batched.repartition(n, "batch").sortWithinPartitions("batch", "n", "unique_id")
+    # partitions by number: adaptive execution leaves them as they are, so batches stay whole
+    batched = batched.repartitionById(n, F.pmod("batch", F.lit(n)).cast("int")).sortWithinPartitions("batch", "n", "unique_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = worker_model(provider, device, generation)
