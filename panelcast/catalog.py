@@ -7,6 +7,7 @@ different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from panelcast.functions.lengths import compatibility
 from panelcast.operators import covariates as C
 from panelcast.operators import providers as P
 from panelcast.operators.baselines import naive, seasonal_naive
-from panelcast.operators.ensemble import ensemble_with_quantiles
+from panelcast.operators.ensemble import coverage, ensemble_with_quantiles
 from panelcast.operators.panel import CovariateSet, TSDataset, validation_report
 from panelcast.plans.planner import make_plan
 from panelcast.plans.registry import REGISTRY, ModelSpec
@@ -340,6 +341,27 @@ def _(spark, d):
     return _renamed(ensemble_with_quantiles([a, seasonal_naive(data, 7)], "median"))
 
 
+@_query("ens_single", f"SELECT unique_id, ds, yhat, 'naive' AS model FROM ({_N})")
+def _(spark, d):
+    """One forecast is returned as it is, other columns included."""
+    return ensemble_with_quantiles([naive(dataset("daily", spark, d), 7).withColumn("model", F.lit("naive"))], "median", (0.5,), "strict")
+
+
+@_query("ens_carried", f"SELECT unique_id, ds, round(avg(yhat), 6) AS yhat, max(note) AS note FROM (SELECT *, unique_id || day(ds) AS note FROM ({_N}) UNION ALL SELECT *, NULL FROM ({_S})) GROUP BY 1, 2")
+def _(spark, d):
+    """Other columns of the first forecast come along."""
+    data = dataset("daily", spark, d)
+    first = naive(data, 7).withColumn("note", F.concat("unique_id", F.dayofmonth("ds").cast("string")))
+    return _renamed(ensemble_with_quantiles([first, seasonal_naive(data, 7)], "mean"))
+
+
+@_query("ens_coverage", f"SELECT unique_id, ds, count(*) AS n_models FROM (SELECT unique_id, ds FROM ({_N}) UNION ALL SELECT unique_id, ds FROM ({_S}) WHERE day(ds) % 2 = 0) GROUP BY 1, 2 HAVING count(*) <> 2")
+def _(spark, d):
+    """Where a model gives no forecast."""
+    data = dataset("daily", spark, d)
+    return coverage([naive(data, 7), seasonal_naive(data, 7).filter(F.dayofmonth("ds") % 2 == 0)])
+
+
 # --- context, limits, batches ------------------------------------------------------------------
 
 _SPEC = ModelSpec("example", "", min_context_length=35, max_context_length=40)
@@ -370,6 +392,19 @@ def _(spark, d):
     return _adjusted(spark, d, _SPEC, None)
 
 
+@_query("ctx_too_short", f"{_VECTORS} SELECT unique_id, len(ctx) < 35 AS too_short, false AS was_padded, len(ctx) AS adjusted_length FROM v")
+def _(spark, d):
+    """Too short for a model that may not be padded: flagged, unchanged."""
+    spec = ModelSpec("example", "", min_context_length=35, pad_to_min_context=False)
+    rows = dataset("daily", spark, d).series().select("unique_id", X.adjust_length(F.col("ctx"), spec).alias("a"))
+    return rows.select("unique_id", "a.too_short", "a.was_padded", F.col("a.adjusted_length").cast("bigint").alias("adjusted_length"))
+
+
+@_query("ctx_float", f"{_VECTORS} SELECT unique_id, list_transform(ctx, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS ctx FROM v")
+def _(spark, d):
+    return dataset("daily", spark, d).series().select("unique_id", X.to_float(F.col("ctx")).cast("array<double>").alias("ctx"))
+
+
 @_query("ctx_truncate", _struct_sql("ctx[-12:]", "false", "len(ctx) > 12", "CAST(0 AS BIGINT)", "greatest(len(ctx) - 12, 0)"))
 def _(spark, d):
     return _adjusted(spark, d, _TIGHT, None)
@@ -466,6 +501,12 @@ def _(spark, d):
     return C.static_join(TSDataset.from_dataframe(rows, ForecastConfig(h=1), CovariateSet(static=static)))
 
 
+@_query("cov_for_series", "SELECT CAST(n_nationkey AS BIGINT) AS unique_id, n_name FROM nation WHERE n_nationkey = 7")
+def _(spark, d):
+    static = _read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("unique_id"), "n_name")
+    return dataset("users", spark, d, covariates=CovariateSet(static=static)).get_covariates_for_series(7, "static")
+
+
 @_query("cov_extended_index", f"{_panel_sql('daily')}, l AS (SELECT unique_id, max(ds) AS last_ds FROM panel GROUP BY 1) SELECT unique_id, ds FROM panel UNION {_future_sql('l', 'D', 1, 7)}")
 def _(spark, d):
     return C.extended_index(dataset("daily", spark, d), 7)
@@ -538,6 +579,80 @@ def _(spark, d):
     return _levels(P.predict(DummySamples(REGISTRY["chronos"]), dataset("users", spark, d), 7, (0.1, 0.9)))
 
 
+class DummyWidths(P.SampleProvider):
+    """Forecasts what it was given: a thousand times the padded length, and the padding's zeros."""
+
+    def load(self, device):
+        return self
+
+    def predict(self, inputs, h, covariates):
+        zeros = np.cumprod(inputs[:, 0, :] == 0, axis=1).sum(axis=1)
+        return np.repeat((1000.0 * inputs.shape[2] + zeros)[:, None, None, None], h, axis=3)
+
+
+class DummyCovariates(P.SampleProvider):
+    """Forecasts the covariates it was given: their sum, and a thousand times their width."""
+
+    def load(self, device):
+        return self
+
+    def predict(self, inputs, h, covariates):
+        return np.repeat((covariates.sum(axis=(1, 2)) + 1000.0 * covariates.shape[2])[:, None, None, None], h, axis=3)
+
+
+class DummyShort(P.DecileProvider):
+    """A model that forecasts two steps fewer than asked."""
+
+    def load(self, device):
+        return self
+
+    def forecast(self, horizon, inputs):
+        point = np.tile(np.arange(1.0, horizon - 1), (len(inputs), 1))
+        return point, np.stack([point + 10 * i for i in range(10)], axis=2)
+
+
+class DummyOwnLevels(P.QuantileProvider):
+    """A loaded model that names its levels and forecasts two steps fewer than asked: the last one stands for them."""
+
+    def load(self, device):
+        return SimpleNamespace(config=SimpleNamespace(context_length=8, quantile_levels=[0.1, 0.5, 0.9]))
+
+    def call(self, model, batch, levels):
+        own = model.config.quantile_levels
+        steps = np.arange(1, batch.h - 1, dtype=np.float32)
+        return {"quantile_predictions": np.stack([np.stack([steps + 10 * own.index(q) for q in levels]) for _ in batch.ids])}
+
+
+@_query(
+    "provider_padding",
+    f"{_ix_sql('users')}, b AS (SELECT unique_id, n, (row_number() OVER (ORDER BY n, unique_id) - 1) // 16 AS batch FROM lasts), w AS (SELECT unique_id, n, max(n) OVER (PARTITION BY batch) AS wide FROM b), f AS ({_future_sql('lasts', 'D', 1, 2)}) SELECT f.unique_id, f.ds, CAST(1000 * wide + wide - n AS DOUBLE) AS yhat FROM f JOIN w USING (unique_id)",
+)
+def _(spark, d):
+    rows = dataset("users", spark, d, 2)
+    positive = TSDataset.from_dataframe(rows.df.withColumn("y", F.abs("y") + 1), rows.config)
+    return P.predict(DummyWidths(REGISTRY["chronos"]), positive, 2, batch_size=16)
+
+
+@_query(
+    "provider_covariates",
+    f"{_ix_sql('daily')}, f AS ({_future_sql('lasts', 'D', 1, 7)}), c AS (SELECT unique_id, (SELECT max(n) FROM lasts) + 7 AS wide, CASE WHEN unique_id = 'view' AND last_ds >= TIMESTAMP '2024-01-27' THEN 0.0 ELSE list_sum(list_transform(range(1, 8), lambda k: CAST(day(last_ds + to_days(CAST(k AS INTEGER))) * 1.5 AS DOUBLE))) END AS total FROM lasts) SELECT f.unique_id, f.ds, 1000 * wide + total AS yhat FROM f JOIN c USING (unique_id)",
+)
+def _(spark, d):
+    """Aligned on the right, zeros over the past and for a series with too few future rows."""
+    data = dataset("daily", spark, d, covariates=CovariateSet(future=_future_frame(spark, d)))
+    return P.predict(DummyCovariates(REGISTRY["chronos"]), data, 7)
+
+
+@_query("provider_short_output", f"{_STEPS} SELECT unique_id, ds, k AS yhat FROM f WHERE k <= 5")
+def _(spark, d):
+    return _levels(P.predict(DummyShort(REGISTRY["timesfm"]), dataset("users", spark, d), 7))
+
+
+@_query("provider_own_levels", f"{_STEPS} SELECT unique_id, ds, least(k, 5) AS yhat, least(k, 5) AS q0_1, CAST(NULL AS DOUBLE) AS q0_7 FROM f")
+def _(spark, d):
+    return _levels(P.predict(DummyOwnLevels(REGISTRY["patchtst_fm"]), dataset("users", spark, d), 7, (0.1, 0.7)))
+
+
 @_query("plan_selection", "SELECT * FROM (VALUES ('all', 0, 'chronos'), ('all', 1, 'timesfm'), ('fast', 0, 'timesfm'), ('fast', 1, 'chronos'), ('accurate', 0, 'moirai'), ('accurate', 1, 'chronos')) t(selection, place, model)")
 def _(spark, d):
     rows = [(s, i, m.name) for s in ("all", "fast", "accurate") for i, m in enumerate(make_plan(config=ForecastConfig(h=1, model_selection=s, max_models=2)))]
