@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
+_LEAVING: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,10 +29,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back; only sessions without one (tests)
-    get a local folder."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it.
+
+    It is set here only where the session has none and all its executors are in this process (tests); on a
+    cluster its absence is an error. What this application writes there goes when it ends.
+    """
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = os.path.join(tempfile.gettempdir(), "panelcast-checkpoints")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "panelcast-checkpoints"))
+        sc.setCheckpointDir(place)
+    own = sc.getCheckpointDir()  # a folder of this application's own in that place
+    if own not in _LEAVING:
+        _LEAVING.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
