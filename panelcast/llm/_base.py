@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators import shared
+from panelcast.operators.shared import checkpointed  # noqa: F401  a part of this module for the operators
 
 #: Rows of a record batch between the JVM and Python: texts can be long.
 BATCH_ROWS = 2000
@@ -30,22 +29,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is set here only where the session has none and all its executors
-    are in this process (tests); on a cluster its absence is an error."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = os.path.join(tempfile.gettempdir(), "panelcast-checkpoints")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder; the folder goes when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     place, files = _hadoop(spark, path)
     files.mkdirs(place)  # only what exists is remembered for deletion
     files.deleteOnExit(place)
@@ -72,12 +58,6 @@ def among_smallest(hashed: Column, n: int, count: Column) -> Column:
     return F.pmod(hashed, F.lit(1 << 53)).cast("double") * count <= F.lit(float((2 * n + 100) << 53))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def together(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """``df`` in n partitions, rows equal in ``columns`` in one of them, for functions over whole partitions.
 

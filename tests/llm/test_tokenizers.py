@@ -111,3 +111,24 @@ def test_documents_are_fetched_by_select(monkeypatch):
     assert crc == [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
     empty, none = token_store.block_documents(token_store.pack_block([], 2))
     assert empty.shape == (0, 2) and none == []
+
+
+def test_very_long_and_awkward_rows(spark, docs):
+    """A text longer than a block, empty and null ones, repeated rows, null ids and an empty table."""
+    long = " ".join(random.Random(3).choice(PIECES) or "x" for _ in range(200_000))
+    rows = [(3, long), (1, None), (2, ""), (5, "twice"), (5, "twice"), (None, "no id")]
+    tools = {"byte": token_store.tokenizer(P.path("byte_bpe_50k.json")).tool, "word": bpe_trie.coder(P.path("word_bpe_49k.json")).tool}
+    got = token_store.roundtrip(docs(rows), P.path("byte_bpe_50k.json")).collect()
+    want, at = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*tools["byte"].encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    out = {r.doc_id: r for r in bpe_trie.digests(bpe_trie.encode_decode(docs(rows), P.path("word_bpe_49k.json"))).collect()}
+    for i, t in rows:
+        ids = tools["word"].encode(t or "", add_special_tokens=False).ids
+        assert out[i].n_tokens == len(ids) and out[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    empty = docs(["x"]).filter("false")
+    assert token_store.roundtrip(empty, P.path("byte_bpe_50k.json")).count() == 0
+    assert bpe_trie.encode_decode(empty, P.path("word_bpe_49k.json")).count() == 0
