@@ -7,6 +7,7 @@ different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from types import SimpleNamespace
 
 import numpy as np
@@ -237,8 +238,8 @@ def _(spark, d):
     """Two-period steps of every anchored frequency from each order's date, at odd times of day."""
     last = F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
     rows = _read(spark, d, "orders").select(F.col("o_orderkey").alias("unique_id"), last.alias("last_ds"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
-    steps = F.array(*[F.struct(F.lit(f).alias("freq"), future(F.col("last_ds"), F.col("k"), f"2{f}").alias("ds")) for f in _STEP_SQL])
-    return rows.select("unique_id", F.explode(steps).alias("s")).select("s.freq", "unique_id", "s.ds")
+    # a projection a frequency: all in one would be too large to be compiled
+    return reduce(DataFrame.unionAll, [rows.select(F.lit(f).alias("freq"), "unique_id", future(F.col("last_ds"), F.col("k"), f"2{f}").alias("ds")) for f in _STEP_SQL])
 
 
 # --- baselines and ensembles -------------------------------------------------------------------

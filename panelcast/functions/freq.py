@@ -81,10 +81,13 @@ def _period(d: Column, m: Column, months: int, anchor: int, end: bool, business:
         day = F.last_day(month) if end else month
         return _weekday(day, end) if business else day
 
-    off = F.pmod(F.lit(anchor) - F.month(d), F.lit(months)) if end else -F.pmod(F.month(d) - F.lit(anchor), F.lit(months))
-    near = F.add_months(F.trunc(d, "MM"), off.cast("int"))
-    first = F.when(d <= point(near), near).otherwise(F.add_months(near, months))
-    return point(F.add_months(first, m * months))
+    near = F.trunc(d, "MM")
+    if months > 1:
+        off = F.pmod(F.lit(anchor) - F.month(d), F.lit(months)) if end else -F.pmod(F.month(d) - F.lit(anchor), F.lit(months))
+        near = F.add_months(near, off.cast("int"))
+    # an end that is no business day never lies before d; else the anchor near d may have passed
+    passed = F.lit(0) if end and not business else F.when(d <= point(near), 0).otherwise(1)
+    return point(F.add_months(near, (m + passed) * months))
 
 
 def _anchored(letters: str, d: Column, m: Column) -> Column | None:
