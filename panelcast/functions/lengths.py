@@ -59,7 +59,7 @@ def get_effective_limits(spec, loaded_model: Any | None = None) -> dict[str, int
 
 
 def _findings(spec, n, h: int):
-    """(applies, is an issue, text) of each limit; ``n`` is a number or a column."""
+    """(applies, is an issue, text) of each limit; ``n`` is a number or a column. The texts."""
     low, high, most = spec.min_context_length, spec.max_context_length, spec.max_prediction_length
     say = (lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(str(v)) for v in x])) if isinstance(n, Column) else lambda *x: "".join(map(str, x))
     shown = n.cast("string") if isinstance(n, Column) else n

@@ -73,7 +73,7 @@ def extract_point_forecast(outputs: Any, h: int, quantile_levels: list[float] |
     """The median forecast of a single series."""
     arr = outputs if isinstance(outputs, np.ndarray) else extract_predictions_array(outputs)
     if arr.ndim not in (1, 2, 3):
-        raise ValueError(f"Unexpected output rank: {arr.ndim}")
+        raise ValueError(f"A forecast of shape {arr.shape} is none of (horizon), (quantile, horizon), (batch, quantile, horizon)")
     if arr.ndim == 3:
         return fit_horizon(_track(arr[0], quantile_levels), h)
     if arr.ndim == 1:
@@ -100,7 +100,7 @@ def extract_batch_forecasts(outputs: Any, h: int, batch_size: int, quantile_leve
         return [np.full(h, arr[b, middle], np.float32) if single else fit_horizon(arr[b], h) for b in range(batch_size)]
     if arr.ndim == 3:
         return [fit_horizon(_track(arr[b], quantile_levels), h) for b in range(batch_size)]
-    raise ValueError(f"Unexpected batch output rank: {arr.ndim}")
+    raise ValueError(f"A batch's forecasts of shape {arr.shape} are none of (values), (batch, horizon), (batch, quantile, horizon)")
 
 
 def extract_batch_quantiles(outputs: Any, h: int, batch_size: int, quantile_levels: list[float] | None = None) -> dict[float, list[np.ndarray]]:
