@@ -49,13 +49,18 @@ def _hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def among_smallest(hashed: Column, n: int, count: Column) -> Column:
-    """Whether a 64-bit hash is small enough to be among the n smallest of ``count`` ones.
+def place_of(*columns: str | Column) -> Column:
+    """A row's place in a sample: a hash of its columns, from 0 up to 2**53."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 53))
+
+
+def among_smallest(place: Column, n: int, count: Column) -> Column:
+    """Whether a place is small enough to be among the n smallest of ``count`` ones.
 
     Twice as many and a hundred more stay on average, so all n do but for a chance below 10**-20; a row is
     judged by itself, so a sample needs no task that meets all rows.
     """
-    return F.pmod(hashed, F.lit(1 << 53)).cast("double") * count <= F.lit(float((2 * n + 100) << 53))
+    return place.cast("double") * count <= F.lit(float((2 * n + 100) << 53))
 
 
 def together(df: DataFrame, n: int, *columns: str) -> DataFrame:

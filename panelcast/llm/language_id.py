@@ -146,7 +146,7 @@ def build_filter(codes: np.ndarray, bits: int) -> bytes:
 
 def fit(df: DataFrame, train: Column, sample: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from at most ``sample`` labelled rows a language (see the module's text)."""
-    rows = df.filter(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    rows = df.filter(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), B.place_of(F.col(id_col), F.col(text_col)).alias("h"))
     sizes = dict(map(tuple, rows.groupBy("lang").count().collect()))  # a number a language
     count = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(n))]), F.col("lang")) if sizes else F.lit(0.0)
     first = Window.partitionBy("lang").orderBy("h", "text")

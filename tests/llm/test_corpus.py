@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.llm import _base as B
 from panelcast.llm import _blocks as K
 from panelcast.llm import decontaminate, near_dup, ngram_lm, substring_dedup, topk
 from panelcast.llm.components import connected_components
@@ -536,3 +537,29 @@ def test_language_stage_uses_the_prediction(spark, data_dir):
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     judged = language_id.predict(docs, language_id.fit(docs, remainder != 2), ["doc_id"]).collect()
     assert kept == {r.doc_id for r in judged if r.lang_pred != "und" and r.known >= language_id.KNOWN}
+
+
+# --- plumbing ----------------------------------------------------------------------------------
+
+
+def test_rows_meet_whatever_adaptive_execution_does(spark, docs):
+    """Rows of a key stay in one partition above a join on that key, which Spark may turn and read locally."""
+    from pyspark import TaskContext
+
+    def where(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("band"), pa.array([TaskContext.get().partitionId()] * batch.num_rows)], ["band", "part"])
+
+    rows = spark.range(20_000).select((F.col("id") % 500).alias("band"), "id")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    met = B.together(rows.join(sizes, "band"), 4, "band").mapInArrow(where, "band bigint, part bigint")
+    assert met.count() == 20_000 and met.groupBy("band").agg(F.count_distinct("part").alias("p")).filter("p > 1").count() == 0
+
+
+def test_a_hash_threshold_keeps_the_smallest(spark):
+    for total in (50, 5000, 200_000):
+        rows = spark.range(total).select(B.place_of("id").alias("h"))
+        kept = rows.filter(B.among_smallest(F.col("h"), 200, F.lit(float(total))))
+        smallest = [r[0] for r in rows.orderBy("h").limit(200).collect()]
+        left = {r[0] for r in kept.collect()}
+        assert set(smallest) <= left and len(left) <= min(total, 700)
