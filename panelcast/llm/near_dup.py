@@ -51,6 +51,8 @@ SIDE = 512
 #: A block's classes and characters at most (on average, as hashing deals them); from LEAST classes a
 #: block on, a group is split into up to SPREAD blocks, so that several tasks share it.
 BLOCK, BLOCK_CHARS, LEAST, SPREAD = 1024, 2_000_000, 160, 12
+#: Hashes of 8 bytes that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: Rows of a shuffle partition where their number is known.
 PART_ROWS = 100_000
 _FLAT = 1 << 16
@@ -368,9 +370,11 @@ def join(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col
     # what joins on a possibly hot key is written first: then Spark can split the other side
     near = near.join(classes.select(F.col("key").alias("node"), "pick", "copies", "chars", "sig"), "node")
     sizes = B.checkpointed(near.groupBy("root").agg(blocks_of(F.count("*"), F.sum("chars")).alias("blocks"), F.count("*").alias("size")))
-    rows = sizes.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    rows, n_asked = (x or 0 for x in sizes.agg(F.sum(F.col("size") * F.col("blocks")), F.sum("size")).first())
     asked = near.join(sizes.drop("size"), "root").select(F.col("node").alias("key"), F.col("root").alias("component"), "blocks", "copies", "sig", "pick.id", "pick.text_hash")
     texts = df.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_hash"), F.col(text_col).alias("text"))
+    if n_asked <= BROADCAST_ROWS:  # then only the texts that are asked for are shuffled; beyond it, all of them
+        texts = texts.join(F.broadcast(asked.select("text_hash")), F.col("d_hash") == F.col("text_hash"), "left_semi")
     members = asked.join(texts, asked.id.eqNullSafe(texts.d_id) & (asked.text_hash == texts.d_hash))
     # rows equal in id and text both match: one is enough
     members = members.groupBy("key", "component", "blocks", "copies", "sig").agg(F.first("text").alias("text"))

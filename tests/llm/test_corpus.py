@@ -246,9 +246,9 @@ def brute_join(texts, words=5, threshold=0.8):
     return [(i, root[i], len(linked[i]), sum(bool(s) and s == sets[i] for s in sets) or 1) for i in range(n)]
 
 
-@pytest.mark.parametrize("side, block, least", [(512, 1024, 160), (4, 4, 2), (1, 1024, 5)])
-def test_join_by_brute_force(docs, monkeypatch, side, block, least):
-    for name, value in (("SIDE", side), ("BLOCK", block), ("LEAST", least), ("PART_ROWS", 50 * block)):
+@pytest.mark.parametrize("side, block, least, sent", [(512, 1024, 160, 10**6), (4, 4, 2, -1), (1, 1024, 5, 10**6)])
+def test_join_by_brute_force(docs, monkeypatch, side, block, least, sent):
+    for name, value in (("SIDE", side), ("BLOCK", block), ("LEAST", least), ("PART_ROWS", 50 * block), ("BROADCAST_ROWS", sent)):
         monkeypatch.setattr(near_dup, name, value)  # small: buckets join whole, groups split into pairs of blocks
     rng = random.Random(8)
     base = [f"v{rng.randrange(500)}" for _ in range(120)]
