@@ -37,6 +37,8 @@ def _steady_memory() -> None:
 if TaskContext.get() is not None:  # in workers only: the driver's process is its user's
     _steady_memory()
 PIECE = 1 << 20
+#: Words are hashed in pieces of this size: their arrays stay in the cache, and below the threshold for mappings.
+HASHED = 1 << 16
 
 SPACE, ALNUM = "space", "alnum"
 
@@ -44,9 +46,13 @@ SPACE, ALNUM = "space", "alnum"
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+        y = x >> U(30)
+        y ^= x
+        y *= U(0xBF58476D1CE4E5B9)
+        y ^= y >> U(27)
+        y *= U(0x94D049BB133111EB)
+        y ^= y >> U(31)
+        return y
 
 
 def salted(seed: int, n: int) -> np.ndarray:
@@ -90,11 +96,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
-    """(first, last) byte ranges of about PIECE bytes that no word crosses; texts' starts end words too."""
+def _pieces(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, size: int):
+    """(first, last) byte ranges of about ``size`` bytes that no word crosses; texts' starts end words too."""
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
-        to = at + PIECE
+        to = at + size
         if to < end:
             start = int(offsets[np.searchsorted(offsets, to)])
             while to < start:
@@ -108,7 +114,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
 
 
 def _span_hashes(piece: np.ndarray, sub: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = max(2 * PIECE, 1 << len(piece).bit_length())  # few sizes: the powers are kept
+    n = max(2 * HASHED, 1 << len(piece).bit_length())  # few sizes: the powers are kept
     with np.errstate(over="ignore"):
         sums = np.zeros(len(piece) + 1, U)
         np.cumsum(sub[piece] * powers(BASE, n)[: len(piece)], out=sums[1:])
@@ -134,7 +140,7 @@ def word_spans(texts: pa.Array, kind: str = SPACE, seed: int = 11) -> tuple[np.n
     word, sub = tables(kind, seed)
     data, offsets = buffers(texts)
     found, places, stops = [], [], []
-    for a, b in _pieces(data, offsets, word):
+    for a, b in _pieces(data, offsets, word, HASHED):
         piece = data[a:b]
         is_word, first = word[piece], _first(offsets, a, b)
         # a word starts after a non-word byte or at a text's start, and ends before either
@@ -173,7 +179,7 @@ def joint_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     data, offsets = buffers(texts)
     found, places, stops = [], [], []
     sub = salted(11, 256)
-    for a, b in _pieces(data, offsets, np.ones(256, bool)):
+    for a, b in _pieces(data, offsets, np.ones(256, bool), PIECE):
         piece = data[a:b]
         ok = np.zeros(b - a, bool)
         space = np.flatnonzero(piece == 0x20)

@@ -31,6 +31,7 @@ chance of about n**2 / 2**65, and then their counts add up.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -54,14 +55,34 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+def ranked(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the values in order, the sorted values).
+
+    Values whose lower bits give way to their places are sorted, several times as fast as places by values are. The
+    upper bits decide but for a few collisions, which show in the result and are then sorted the slow way.
+    """
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    packed = hashes & ~low
+    packed |= np.arange(len(hashes), dtype=np.uint64)
+    packed.sort()
+    packed &= low
+    order = packed.view(np.int64)
+    ordered = hashes[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+    return order, ordered
+
+
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct values, a place of each, the number of each place's value)."""
-    order = np.argsort(hashes)
-    ordered = hashes[order]
+    order, ordered = ranked(hashes)
     new = np.ones(len(order), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     of = np.empty(len(order), np.int32)
-    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    of[order] = number
     return ordered[new], order[new].astype(np.int32), of
 
 
@@ -83,8 +104,11 @@ class Grams:
         tokens = np.insert(words, bounds[1:], END)
         train = np.asarray(table.column("train").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
         weight = np.repeat(np.where(train, self.times, 0), np.diff(self.bounds)).astype(np.float64)
-        self.place = (np.arange(len(tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))).astype(np.int32)
+        self.place = np.arange(len(tokens), dtype=np.int32)
+        self.place -= np.repeat(self.bounds[:-1].astype(np.int32), np.diff(self.bounds))
         self.weight, self.order, self.mixed = weight, order, T.mix(tokens)
+        self._prefix: dict[int, np.ndarray] = {}
+        self._suffix: dict[int, np.ndarray] = {}
         self.keys, self.of, self.first, self.own = [None], [None], [None], [None]
         self.hashes = tokens
         for k in range(1, order + 1):
@@ -107,7 +131,9 @@ class Grams:
         before[1:] = hashes[:-1]
         before[self.place == 0] = START if k == 2 else 0
         with np.errstate(over="ignore"):
-            return T.mix(before * np.uint64(0x9E3779B97F4A7C15) + self.mixed)
+            before *= np.uint64(0x9E3779B97F4A7C15)
+            before += self.mixed
+            return T.mix(before)
 
     def longer_asked(self, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Keys and own counts of the n-grams of ``order`` + 1 tokens that ``asked`` names, and of no others."""
@@ -124,12 +150,16 @@ class Grams:
 
     def prefix(self, n: int) -> np.ndarray:
         """For each n-gram, the (n - 1)-gram of its first tokens; -1 for the start alone."""
-        at = self.first[n]
-        return np.where(self.place[at] > 0, self.of[n - 1][at - 1], -1)
+        if n not in self._prefix:
+            at = self.first[n]
+            self._prefix[n] = np.where(self.place[at] > 0, self.of[n - 1][at - 1], np.int32(-1))
+        return self._prefix[n]
 
     def suffix(self, n: int) -> np.ndarray:
         """For each n-gram, the (n - 1)-gram of its last tokens."""
-        return self.of[n - 1][self.first[n]]
+        if n not in self._suffix:
+            self._suffix[n] = self.of[n - 1][self.first[n]]
+        return self._suffix[n]
 
     def asked(self, n: int, shared: list[np.ndarray]) -> np.ndarray:
         """The n-grams whose parts other blocks hold too, so that they may hold the whole."""
@@ -153,83 +183,103 @@ class Grams:
 
 
 class Automaton:
-    """The part of the backoff automaton that some texts can reach."""
+    """The part of the backoff automaton that some texts can reach.
+
+    States are numbered by the length of their history: 0 is the root, 1 the start, which counts as a token,
+    ``least[n]`` the first state of n tokens. The arcs of states of n - 1 tokens are numbered as the n-grams are:
+    ``arcs[n]`` tells which there are, ``arc_log[n]`` their weights, ``arc_next[n]`` where they lead.
+    """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, priors: tuple[float, ...]) -> None:
         g, order = grams, grams.order
+        self.grams = g
         self.root = (counts[1] + ADD) / (total + ADD * (distinct + 1))  # the root's arcs
-        # state 0 is the root, 1 the start, then the histories seen, shortest first
         end = np.searchsorted(g.keys[1], END)
         starts = float(counts[1][end]) if end < len(g.keys[1]) and g.keys[1][end] == END else 0.0
-        state, seen, fail, prior = [None], [np.array([0.0, starts])], [np.zeros(2, np.int64)], [np.zeros(1), np.array([priors[1] if order > 1 else 0.0])]
-        size = 2
+        state, seen, fail, prior = [None], [np.array([0.0, starts])], [np.zeros(2, np.int32)], [np.zeros(1), np.array([priors[1] if order > 1 else 0.0])]
+        size, self.least = 2, [0, 1]
         for n in range(1, order):
-            known = np.flatnonzero(counts[n] > 0)
+            known = counts[n] > 0
             if n == 1:
-                known = known[known != end]  # nothing follows an end
+                known[end : end + 1] &= g.keys[1][end : end + 1] != END  # nothing follows an end
             else:
-                known = known[g.suffix(n)[known] != end] if n == 2 else known[~self._ends(g, n, end)[known]]
-            number = np.full(len(g.keys[n]) + 1, -1, np.int64)
-            number[known] = size + np.arange(len(known))
+                known &= (g.suffix(n) if n == 2 else g.of[1][g.first[n]]) != end
+            known = np.flatnonzero(known)
+            number = np.full(len(g.keys[n]) + 1, -1, np.int32)
+            number[known] = np.arange(size, size + len(known), dtype=np.int32)
             state.append(number)
             seen.append(counts[n][known].astype(np.float64))
-            fail.append(np.zeros(len(known), np.int64) if n == 1 else state[n - 1][g.suffix(n)[known]])
+            fail.append(np.zeros(len(known), np.int32) if n == 1 else state[n - 1][g.suffix(n)[known]])
             prior.append(np.full(len(known), priors[n]))
+            if n > 1:
+                self.least.append(size)
             size += len(known)
         self.seen, self.fail, prior = np.concatenate(seen), np.concatenate(fail), np.concatenate(prior)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.fail_log = np.where(self.seen + prior > 0, np.log10(prior / (self.seen + prior)), 0.0)
-        self.token_state = np.maximum(state[1][:-1], 0) if order > 1 else np.zeros(len(self.root), np.int64)
-        self.width = len(self.root) + 1
-        weight, keys, weights, nexts = self.root, [], [], []
+        self.token_state = np.maximum(state[1][:-1], 0) if order > 1 else np.zeros(len(self.root), np.int32)
+        self.root_log = np.log10(self.root)
+        weight = self.root
+        self.src, self.arcs, self.arc_log, self.arc_next = ([None, None] for _ in range(4))
         for n in range(2, order + 1):
-            own = np.flatnonzero(counts[n] > 0)
-            pre, suf, last = g.prefix(n)[own], g.suffix(n)[own], g.of[1][g.first[n][own]]
-            src = np.where(pre >= 0, state[n - 1][pre], 1) if n == 2 else state[n - 1][pre]
+            pre, suf, there = g.prefix(n), g.suffix(n), counts[n] > 0
+            src = state[n - 1][pre]  # for n-grams without an arc, any state
+            if n == 2:
+                src[pre < 0] = 1
             m = prior[src]
-            mine = (counts[n][own] + m * weight[suf]) / (self.seen[src] + m)
-            full = np.zeros(len(g.keys[n]))
-            full[own] = mine
-            to = state[n][own] if n < order else state[n - 1][suf]
-            keys.append(src * self.width + last)
-            weights.append(np.log10(mine))
-            nexts.append(np.maximum(to, 0))  # after an end nothing is read
-            weight = full
-        # the arcs of a state lie side by side, in order of their tokens
-        arc, log, to = (np.concatenate(x) if x else np.zeros(0) for x in (keys, weights, nexts))
-        by_state = np.argsort(arc)
-        self.arc, self.arc_log, self.arc_next = arc[by_state].astype(np.int64), log[by_state], to[by_state].astype(np.int32)
-        self.begin = np.searchsorted(self.arc, np.arange(size + 1) * self.width).astype(np.int32)
-        self.fail, self.token_state, self.root_log = self.fail.astype(np.int32), self.token_state.astype(np.int32), np.log10(self.root)
-
-    @staticmethod
-    def _ends(g: Grams, n: int, end: int) -> np.ndarray:
-        return g.of[1][g.first[n]] == end
-
-    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 weight, next state) of reading ``token`` in ``state``, failure arcs followed as needed."""
-        log, to = np.zeros(len(state)), np.zeros(len(state), np.int32)
-        left, at = np.arange(len(state)), state
-        while len(left):
-            root = at == 0
-            done = left[root]
-            log[done] += self.root_log[token[done]]
-            to[done] = self.token_state[token[done]]
-            left, at = left[~root], at[~root]
-            if not len(left):
-                break
-            place, end = self.begin[at], self.begin[at + 1]
-            key = at * np.int64(self.width) + token[left]
-            found = end > place
-            found[found] = self.arc[place[found]] == key[found]  # most states have one arc
-            more = np.flatnonzero(~found & (end - place > 1))
-            if len(more):
-                place[more] = np.minimum(np.searchsorted(self.arc, key[more]), len(self.arc) - 1)
-                found[more] = self.arc[place[more]] == key[more]
-            log[left[found]] += self.arc_log[place[found]]
-            to[left[found]] = self.arc_next[place[found]]
-            log[left[~found]] += self.fail_log[at[~found]]
-            left, at = left[~found], self.fail[at[~found]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mine = weight[suf]
+                mine *= m
+                mine += counts[n]
+                m += self.seen[src]
+                mine /= m
+                self.arc_log.append(np.log10(mine))
+            mine[~there] = 0.0
+            to = state[n][:-1] if n < order else state[n - 1][suf]
+            self.src.append(src)
+            self.arcs.append(there)
+            self.arc_next.append(np.maximum(to, 0))  # after an end nothing is read
+            weight = mine
+
+    @functools.cached_property
+    def _by_state(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, the arcs there are by state and token, and the keys they are in order of."""
+        out: list = [None, None]
+        for n in range(2, self.grams.order + 1):
+            there = np.flatnonzero(self.arcs[n])
+            keys = self.src[n][there] * np.int64(len(self.root)) + self.grams.of[1][self.grams.first[n][there]]
+            order = np.argsort(keys)
+            out.append((there[order], keys[order]))
+        return out
+
+    def arc_of(self, n: int, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The arcs from states of n - 1 tokens for tokens that need not follow in any text; -1 where there is none."""
+        arcs, keys = self._by_state[n]
+        key = state * np.int64(len(self.root)) + token
+        at = np.searchsorted(keys, key)
+        return np.where(np.append(keys, -1)[at] == key, np.append(arcs, -1)[at], -1)
+
+    def step(self, state: np.ndarray, token: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weight, next state) of reading ``token`` in ``state``, failure arcs followed as needed.
+
+        Where ``place`` tells where in the texts the tokens stand, and the states are those of what precedes them there,
+        an arc needs no search: its number is that of the n-gram that ends there.
+        """
+        log, to, at = np.zeros(len(state)), np.zeros(len(state), np.int32), state.copy()
+        for n in range(self.grams.order, 1, -1):
+            here = np.flatnonzero(at >= self.least[n - 1])  # states of n - 1 tokens: the longer ones have failed or are done
+            arc = self.arc_of(n, at[here], token[here]) if place is None else self.grams.of[n][place[here]]
+            found = self.arcs[n][arc] & (arc >= 0)
+            done, arc = here[found], arc[found]
+            log[done] += self.arc_log[n][arc]
+            to[done] = self.arc_next[n][arc]
+            at[done] = -1
+            left = here[~found]
+            log[left] += self.fail_log[at[left]]
+            at[left] = self.fail[at[left]]
+        root = np.flatnonzero(at == 0)
+        log[root] += self.root_log[token[root]]
+        to[root] = self.token_state[token[root]]
         return log, to
 
     def walk(self, grams: Grams) -> np.ndarray:
@@ -250,7 +300,7 @@ class Automaton:
         for t in range(int(length.max(initial=0))):
             n = int(np.searchsorted(-length, -t, "left"))  # lengths above t
             place = base[:n] + at[:n] + t
-            log, state[:n] = self.step(state[:n], tokens[place])
+            log, state[:n] = self.step(state[:n], tokens[place], place)
             out[:n] += np.where(place >= begin[:n], log, 0.0)
         return np.bincount(text, weights=out, minlength=len(sizes))
 
@@ -278,8 +328,9 @@ def _answer(level: int, table: pa.Table) -> pa.Table:
     and the bucket's tokens and distinct ones."""
     sent = [K.keys_counted(x) for x in K.cells(table, "body")]
     own = [k for k, _ in sent]
-    distinct, of, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    sums = np.bincount(of, weights=np.concatenate([c for _, c in sent]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
+    keys, _, of = distinct(np.concatenate(own))
+    times = np.bincount(of, minlength=len(keys))
+    sums = np.bincount(of, weights=np.concatenate([c for _, c in sent]).astype(np.float64), minlength=len(keys)).astype(np.int64)
     coded = 2 * sums + (times > 1)  # a block asks for a key once
     ends, n = np.cumsum([len(k) for k in own]), len(own)
     return pa.table(

@@ -106,6 +106,34 @@ def test_states_of_any_reading_are_the_same():
     assert (auto.fail[1:] < np.arange(1, len(auto.fail))).all()  # failure arcs lead to shorter histories
 
 
+def test_arcs_of_texts_need_no_search(monkeypatch):
+    """Reading a text finds the arcs by its n-grams' numbers: the same ones as a search by state and token."""
+    texts = [t or "" for t in corpus(14)]
+    table = pa.table({"block": [0] * len(texts), "id": range(len(texts)), "text": texts, "train": [i % 3 > 0 for i in range(len(texts))]})
+    grams = ngram_lm.Grams(table, 3)
+    auto = ngram_lm.Automaton(grams, grams.own, int(grams.own[1].sum()), int((grams.own[1] > 0).sum()), (0.0, 20.0, 3.0))
+    state = np.ones(len(texts), np.int32)
+    for t in range(int(np.diff(grams.bounds).max())):
+        on = np.flatnonzero(np.diff(grams.bounds) > t)
+        place = grams.bounds[on] + t
+        searched, known = auto.step(state[on], grams.of[1][place]), auto.step(state[on], grams.of[1][place], place)
+        assert (searched[0] == known[0]).all() and (searched[1] == known[1]).all()
+        state[on] = known[1]
+    monkeypatch.setattr(ngram_lm.Automaton, "arc_of", None)
+    assert np.isfinite(auto.walk(grams)).all()
+
+
+def test_ranks_of_values_that_share_upper_bits():
+    rng = np.random.default_rng(15)
+    for top in (1, 5, 2**20):
+        for n in (0, 1, 2, 1000):
+            values = (rng.integers(0, top, n, dtype=np.uint64) << np.uint64(44)) | rng.integers(0, 7, n, dtype=np.uint64)
+            order, ordered = ngram_lm.ranked(values)
+            assert (ordered == np.sort(values)).all() and (values[order] == ordered).all() and (np.sort(order) == np.arange(n)).all()
+            keys, first, of = ngram_lm.distinct(values)
+            assert (keys == np.unique(values)).all() and (keys[of] == values).all() and (values[first] == keys).all()
+
+
 def test_hot_rows_do_not_fill_a_block(spark, docs):
     """Rows equal in id and text are dealt by input partition and collapsed in their block."""
     frame = docs([(7, "a b c d")] * 4000 + [(i, f"x{i} y{i} z{i} u{i}") for i in range(8, 8008)]).repartition(8)
