@@ -65,6 +65,8 @@ LEFT, HEAD, TAIL, RIGHT = 24, 28, 12, 12
 READ, STEP = HEAD + TAIL, 12
 PLACES = LEFT + READ + RIGHT
 WIDTH, EMBED, FILTERS = 5, 8, 24
+#: Pieces the network reads at once: its arrays stay below the threshold for mappings.
+SLICE = 64
 RECALL = 0.97
 #: Findings of each kind in a block of training; a longer finding than LONGEST counts as much as one of that length.
 SAMPLE, LONGEST = 1000, 400
@@ -212,7 +214,7 @@ class Network:
         return [self.embed, self.conv, self.bias, self.out, self.shift]
 
     def logits(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.float32), *(self.forward(codes[i : i + 512])[-1] for i in range(0, len(codes), 512))])
+        return np.concatenate([np.zeros(0, np.float32), *(self.forward(codes[i : i + SLICE])[-1] for i in range(0, len(codes), SLICE))])
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
         """Calibrated probability that a candidate is a secret."""
@@ -384,7 +386,7 @@ def learned(state: list[np.ndarray], lesson: Lesson, at: int, rounds: int, seed:
     ends = np.searchsorted(upto, upto[-1:] * np.arange(1, batches) / max(1, batches)) + 1
     for t, batch in enumerate(np.split(own, ends)[:batches], at * batches + 1):
         rate = 0.006 * (1 - t / (rounds * batches + 1))  # smaller and smaller steps
-        parts, total = np.split(batch, range(512, len(batch), 512)), weight[batch].sum()
+        parts, total = np.split(batch, range(SLICE, len(batch), SLICE)), weight[batch].sum()
         steps = [net.step(codes[i], labels[i], weight[i] / total) for i in parts]
         for w, g, m, v in zip(state[:n], map(sum, zip(*steps)), state[n : 2 * n], state[2 * n :]):
             m += 0.1 * (g - m)
